@@ -32,4 +32,19 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
 
-ORACLES = {"op1_decontaminate": OP1, "op3_topk": OP3}
+OP7 = r"""
+WITH l AS (
+  SELECT doc_id, coalesce(source, chr(1)) AS site, text AS t, unnest(string_split(text, chr(10))) AS line FROM documents),
+lines AS (SELECT doc_id, site, t, trim(line, ' ') AS line FROM l WHERE trim(line, ' ') <> ''),
+bad AS (
+  SELECT line, min(doc_id) AS keeper FROM lines GROUP BY line HAVING count(DISTINCT site) >= 5),
+d AS (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents),
+m AS (
+  SELECT d.doc_id, i, ls[i] AS line, bad.line IS NOT NULL AND d.doc_id <> bad.keeper AS gone
+  FROM d LEFT JOIN bad ON trim(ls[i], ' ') = bad.line)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
+  coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text
+FROM m GROUP BY doc_id
+"""
+
+ORACLES = {"op1_decontaminate": OP1, "op3_topk": OP3, "op7_line_dedup": OP7}

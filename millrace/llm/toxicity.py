@@ -1,17 +1,21 @@
 """Toxicity by two class-conditional Kneser-Ney bigram models.
 
-One model is of texts labelled toxic, one of ordinary ones. Both discount their bigram and
-continuation counts and back off to the continuation counts of the two classes together,
-so an expression that is rare or unknown is as likely in either. A token's evidence is the
-log ratio of its two probabilities; a text's is the mean over its tokens (length-
-normalised), and the highest mean over a window of WINDOW tokens, which a long text does
-not dilute. A logistic curve over these, fitted on texts that the counts have not seen,
-gives the score.
+One model is of texts labelled toxic, one of ordinary ones. Bigrams back off to words, and
+a word's lower-order count is the number of contexts it is seen in; a context here is a
+whole text, so that one text's repetitions are no evidence. Both classes back off to the
+counts of the two together. An expression keeps a count of its own (less DISCOUNT) in a
+class only where the classes differ by more than EVIDENCE standard errors from what the
+level below expects; of any rarer expression the whole count is discounted, so it is as
+likely in either class. A token's evidence is the log ratio of its two probabilities; a
+text's is the mean over its tokens (length-normalised), the mean of its positive part, and
+the highest mean over a window of WINDOW tokens, which a long text does not dilute. A
+logistic curve over these gives the score; it is fitted on texts that the counts it sees
+have not seen (two halves, crosswise).
 
 Fitted on a sample of labelled rows: of each class the SAMPLE_ROWS rows whose id has the
-smallest hash, a bound however many there are; bigrams seen once in the sample back off,
-and at most MODEL_ENTRIES of the most frequent are kept, so the model has a size bound.
-Only words of the text are inputs. Every text is scored whole.
+smallest hash, a bound however many there are; at most MODEL_ENTRIES words and as many
+bigrams are kept, so the model has a size bound. Only words of the text are inputs. Every
+text is scored whole.
 
 Nulls: a null text is an empty text; rows with a null label or id teach nothing, and a
 null id counts as the empty text for the fold. A text without words has no evidence. If a
@@ -31,11 +35,13 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, as_bytes, id_hash, letter_words, materialise, rows_of
 
-SAMPLE_ROWS = 3_000
-MODEL_ENTRIES = 400_000
+SAMPLE_ROWS = 4_000
+MODEL_ENTRIES = 100_000
 DISCOUNT = 0.75
+EVIDENCE = 4.0
 WINDOW = 12
 FLUSH = 200_000
+WORD = b"\n"
 
 
 @dataclass
@@ -63,14 +69,14 @@ class Model:
             p[:, some] += self.bigram[:, at[some]]
         return np.log(p[1] / p[0])
 
-    def features(self, text: bytes) -> tuple[float, float, float]:
+    def features(self, text: bytes) -> tuple[float, float, float, float]:
         e = self.evidence(text)
         n = len(e)
         if not n:
-            return 0.0, 0.0, 0.0
+            return 0.0, 0.0, 0.0, 0.0
         total = np.concatenate([[0.0], np.cumsum(e)])
         width = min(WINDOW, n)
-        return total[-1] / n, (total[width:] - total[:-width]).max() / WINDOW, float(np.log1p(n))
+        return float(total[-1] / n), float((total[width:] - total[:-width]).max() / WINDOW), float(np.maximum(e, 0).mean()), float(np.log1p(n))
 
     def score(self, text: bytes) -> float:
         if self.weights is None:
@@ -91,28 +97,78 @@ def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
         return None, sizes
     chosen = materialise(chosen)  # at most 2 * SAMPLE_ROWS ids
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")
-    return materialise(texts.select("c", F.pmod(F.xxhash64("k", F.lit(1)), F.lit(2)).alias("half"), "t")), sizes
+    return materialise(texts.select("c", F.pmod(F.xxhash64("k", F.lit(1)), F.lit(2)).cast("int").alias("half"), "t")), sizes
 
 
-def _bigrams(texts: DataFrame) -> DataFrame:
-    """v, w, n0, n1: counts of each bigram (v empty at a text's start) in the two classes."""
+def _counts(texts: DataFrame) -> DataFrame:
+    """v, w, n00, n01, n10, n11: how many texts of a half and class hold each bigram (v empty
+    at a text's start) and, with v a line feed, each word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held: Counter = Counter()
         for batch in batches:
-            for c, t in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+            for half, c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
                 ws = letter_words(t)
-                held.update(zip([c] * len(ws), [b"", *ws[:-1]], ws))
+                held.update((2 * half + c, v, w) for v, w in {*zip([b"", *ws[:-1]], ws), *((WORD, w) for w in ws)})
                 if len(held) >= FLUSH:
                     yield flat(held)
                     held.clear()
         yield flat(held)
 
     def flat(held: Counter) -> dict:
-        return {"v": [k[1] for k in held], "w": [k[2] for k in held], "n0": [n * (k[0] == 0) for k, n in held.items()], "n1": [n * (k[0] == 1) for k, n in held.items()]}
-
-    found = rows_of(texts, [F.col("c"), F.col("t")], "v binary, w binary, n0 long, n1 long", count)
-    return found.groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        return {"v": [k[1] for k in held], "w": [k[2] for k in held]} | {f"n{i:02b}": [n * (k[0] == i) for k, n in held.items()] for i in range(4)}
+
+    found = rows_of(texts, [F.col("half"), F.col("c"), F.col("t")], "v binary, w binary, n00 long, n01 long, n10 long, n11 long", count)
+    return found.groupBy("v", "w").agg(*[F.sum(n).alias(n) for n in ("n00", "n01", "n10", "n11")])
+
+
+def _differ(n0, n1, share1):
+    """Whether n1 of n0 + n1 is further from its expected share than chance explains."""
+    e = (n0 + n1) * share1
+    return F.abs(n1 - e) > EVIDENCE * F.sqrt(e) + 1
+
+
+def _build(counts: DataFrame) -> Model | None:
+    """counts: v, w, n0, n1. Only entries that tell the classes apart come to the driver."""
+    word = F.col("v") == F.lit(WORD)
+    words, pairs = counts.where(word).select("w", "n0", "n1"), counts.where(~word)
+    s = np.array(words.agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first(), float)
+    if not s.all():
+        return None
+    most = F.desc(F.col("n0") + F.col("n1"))
+    top = words.where(_differ(F.col("n0"), F.col("n1"), float(s[1] / s.sum()))).orderBy(most, "w").limit(MODEL_ENTRIES).collect()
+    own = {bytes(r["w"]): np.maximum(np.array([r["n0"], r["n1"]]) - DISCOUNT, 0) / s for r in top}
+    shared = {bytes(r["w"]): (r["n0"] + r["n1"]) / s.sum() for r in top}
+    left = 1 - sum(own.values(), np.zeros(2))
+    # what a bigram's words alone make one expect, for the words that have counts of their own
+    spark = counts.sparkSession
+    expected = spark.createDataFrame([(bytearray(w), float(s[1] * p[1] / (s * p).sum())) for w, p in ((w, own[w] + left * shared[w]) for w in own)] or [(bytearray(b""), 0.5)], "w binary, share double")
+    base = float(s[1] * left[1] / (s * left).sum())
+    told = pairs.join(F.broadcast(expected), "w", "left").withColumn("share", F.coalesce("share", F.lit(base)))
+    kept = told.where(_differ(F.col("n0"), F.col("n1"), F.col("share"))).orderBy(most, "v", "w").limit(MODEL_ENTRIES).select("v", "w", "n0", "n1").collect()
+    heads, tails = sorted({bytes(r["v"]) for r in kept}), sorted({bytes(r["w"]) for r in kept} - own.keys())
+    key = lambda ws: spark.createDataFrame([(bytearray(w),) for w in ws] or [(bytearray(WORD),)], "x binary")
+    after = {bytes(r["x"]): np.array([r["n0"], r["n1"]], float) for r in pairs.join(F.broadcast(key(heads)), F.col("v") == F.col("x")).groupBy("x").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()}
+    for r in words.join(F.broadcast(key(tails)), F.col("w") == F.col("x")).collect():
+        shared[bytes(r["x"])] = (r["n0"] + r["n1"]) / s.sum()
+    model = Model(vocab={w: i + 1 for i, w in enumerate(sorted({*shared, *heads} - {b""}))})
+    n = len(model.vocab) + 1
+    model.unigram, model.backoff = np.repeat(left[:, None], n, axis=1), np.ones((2, n))
+    for w, p in shared.items():
+        model.unigram[:, model.vocab[w]] = own.get(w, 0) + left * p
+    entries = []
+    for r in kept:
+        v, w = bytes(r["v"]), bytes(r["w"])
+        p = np.where(after[v] > 0, np.maximum(np.array([r["n0"], r["n1"]]) - DISCOUNT, 0) / np.maximum(after[v], 1), 0)
+        at = model.vocab.get(v, 0)
+        if at:  # the start of a text has no context of its own
+            model.backoff[:, at] -= p
+            entries.append((at * n + model.vocab[w], p))
+    model.backoff = np.maximum(model.backoff, 1e-3)
+    entries.sort(key=lambda e: e[0])
+    model.keys = np.array([k for k, _ in entries], np.int64)
+    model.bigram = np.array([p for _, p in entries], float).reshape(-1, 2).T
+    return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", learn=lambda k: F.lit(True)) -> Model:
@@ -121,46 +177,23 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     model = Model(prior=sizes.get(1, 0) / max(1, sum(sizes.values())))
     if len(sizes) < 2:
         return model
-    pairs = materialise(_bigrams(sample.where("half = 0")))
-    words = pairs.groupBy("w").agg(F.sum((F.col("n0") > 0).cast("long")).alias("t0"), F.sum((F.col("n1") > 0).cast("long")).alias("t1"))
-    totals = words.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(n) for n, x in {"s0": F.col("t0"), "s1": F.col("t1"), "k0": (F.col("t0") > 0).cast("long"), "k1": (F.col("t1") > 0).cast("long"), "k": F.lit(1)}.items()]).first()
-    if not totals["s0"] or not totals["s1"]:
+    counts = materialise(_counts(sample))
+    n = lambda c: (F.col(f"n0{c}") + F.col(f"n1{c}")).alias(f"n{c}")
+    whole = _build(counts.select("v", "w", n(0), n(1)))
+    halves = [_build(counts.select("v", "w", F.col(f"n{h}0").alias("n0"), F.col(f"n{h}1").alias("n1"))) for h in (0, 1)]
+    if whole is None or None in halves:
         return model
-    top = words.where("t0 + t1 >= 2").orderBy(F.desc(F.col("t0") + F.col("t1")), "w").limit(MODEL_ENTRIES).collect()
-    model.vocab = {bytes(r["w"]): i + 1 for i, r in enumerate(top)}
-    n = len(top) + 1
-    t = np.array([[0, 0], *[[r["t0"], r["t1"]] for r in top]], float).T
-    s, k = np.array([[totals["s0"]], [totals["s1"]]], float), np.array([[totals["k0"]], [totals["k1"]]], float)
-    shared = (np.maximum(t.sum(0) - DISCOUNT, 0) + DISCOUNT * totals["k"] / (totals["k"] + 1)) / s.sum()
-    model.unigram = (np.maximum(t - DISCOUNT, 0) + DISCOUNT * k * shared) / s
-    model.backoff = np.ones((2, n))
-    often = pairs.where("n0 + n1 >= 2")
-    after = pairs.groupBy("v").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"), *[F.sum(F.when((F.col("n0") + F.col("n1") >= 2), F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0))).otherwise(0.0)).alias(f"m{c}") for c in (0, 1)]).where("c0 + c1 >= 2")
-    kept = often.orderBy(F.desc(F.col("n0") + F.col("n1")), "v", "w").limit(MODEL_ENTRIES).collect()
-    for r in after.orderBy(F.desc(F.col("c0") + F.col("c1")), "v").limit(MODEL_ENTRIES).toLocalIterator():
-        v = model.vocab.get(bytes(r["v"]))
-        if v:
-            model.backoff[:, v] = [1 - r[f"m{c}"] / r[f"c{c}"] if r[f"c{c}"] else 1.0 for c in (0, 1)]
-    seen = {bytes(r["v"]) for r in kept}
-    by = {bytes(r["v"]): (r["c0"], r["c1"]) for r in after.orderBy(F.desc(F.col("c0") + F.col("c1")), "v").limit(MODEL_ENTRIES).toLocalIterator() if bytes(r["v"]) in seen}
-    entries = []
-    for r in kept:
-        v, w = model.vocab.get(bytes(r["v"])), model.vocab.get(bytes(r["w"]))
-        if v and w and bytes(r["v"]) in by:
-            c = by[bytes(r["v"])]
-            entries.append((v * n + w, *[max(r[f"n{i}"] - DISCOUNT, 0) / c[i] if c[i] else 0.0 for i in (0, 1)]))
-    entries.sort()
-    model.keys = np.array([e[0] for e in entries], np.int64)
-    model.bigram = np.array([[e[1] for e in entries], [e[2] for e in entries]], float).reshape(2, -1)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    rest = arrow_map(sample.where("half = 1"), {"t": F.col("t")}, ["c"], {"f": "array<double>"}, lambda got: {"f": [list(sent.value.features(x)) for x in as_bytes(got["t"])]})
-    rows = rest.collect()  # at most 2 * SAMPLE_ROWS rows of three numbers
+    sent = docs.sparkSession.sparkContext.broadcast(halves)
+    crosswise = arrow_map(sample, {"t": F.col("t"), "half": F.col("half")}, ["c"], {"f": "array<double>"}, lambda got: {"f": [list(sent.value[1 - h].features(x)) for h, x in zip(got["half"].to_pylist(), as_bytes(got["t"]), strict=True)]})
+    rows = crosswise.collect()  # at most 2 * SAMPLE_ROWS labelled ids, four numbers each
     y = np.array([r["c"] for r in rows], float)
-    if len(set(y)) == 2:
-        x = np.array([[1.0, *r["f"]] for r in rows])
-        share = np.where(y == 1, sizes[1] / max(1, y.sum()), sizes[0] / max(1, (1 - y).sum()))
-        model.weights = _logistic(x, y, share / share.mean())
-    return model
+    if len(set(y)) < 2:
+        return model
+    x = np.array([[1.0, *r["f"]] for r in rows])
+    scale = np.where(x.std(0) > 0, x.std(0), 1.0)
+    share = np.where(y == 1, sizes[1] / y.sum(), sizes[0] / (1 - y).sum())
+    whole.weights, whole.prior = _logistic(x / scale, y, share / share.mean()) / scale, model.prior
+    return whole
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
