@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """df with rows that come in the same order each time it is read, as those of a table
+    of files do: for operators that know a row by its place. Anything else is written first."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString().strip().split("\n")
+    scan = all(line.lstrip(" +-:").startswith(("Relation", "Project", "Filter")) for line in plan)
+    return df if scan and "Relation" in plan[-1] else materialise(df)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,6 +61,25 @@ def as_texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+FILTER_BITS = 1 << 21
+
+
+def bit_filter(values: DataFrame, bits: int = FILTER_BITS) -> Callable[[Column], Column]:
+    """values: one long column. A test that is false for most numbers that values lacks and
+    true for all it holds. It has one bit for each of so many remainders, so its size is
+    bounded; where values fills it, it only saves less."""
+    place = F.pmod(F.xxhash64(values[0]), F.lit(bits))
+    on = np.zeros(bits, bool)
+    on[values.select(place.alias("b")).distinct().toArrow().column("b").to_numpy()] = True
+    held = F.from_json(F.lit(str(np.packbits(on, bitorder="little").view(np.int64).tolist())), "array<long>")
+
+    def test(x: Column) -> Column:
+        at = F.pmod(F.xxhash64(x), F.lit(bits))
+        return F.call_function("shiftright", F.get(held, F.shiftright(at, 6).cast("int")), (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return test
+
+
 #: A-Z become a-z; digits, letters and bytes of non-ASCII characters stay; all else is a gap.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: As WORD_BYTES, but digits are gaps too.
