@@ -1,13 +1,13 @@
 """Main text of a web page by its line-block distribution.
 
-The markup is stripped to lines: each block element or line break starts a new line. Lines
-of menus, footers, forms, adverts, comments and the like, known by their element, role or
-class, and lines that are mostly links outside an article, are markup too and become lines
-of no length. Over the line lengths a window of WINDOW lines slides; a run of text begins
-where the windowed length surges from nothing to something and ends where it dives to
-nothing, so single empty lines do not cut it. Where the page names an article or main
-element that holds text, lines outside it have no length either, and all runs are kept;
-otherwise the heaviest run is kept, with runs of at least SHARE of its length.
+The markup is stripped to lines: each block element or line break starts a new line. Menus,
+footers, forms, adverts, comments and the like, known by their element, role or class, are
+stripped with it. Lines that are mostly links, outside an article, have no length. Over the
+line lengths a window of WINDOW lines slides; a run of text begins where the windowed length
+surges from nothing to something and ends where it dives to nothing, so single empty lines
+do not cut it. Where the page names an article or main element that holds text, lines
+outside it have no length either, and all runs are kept; otherwise the heaviest run is kept,
+with runs of at least SHARE of its length.
 
 A line's white space becomes single spaces, character references are decoded, and kept
 lines are joined by a line feed. Nulls: a null or empty page has an empty text.
@@ -149,9 +149,9 @@ def runs(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
 
 
 def main_text(page: str) -> str:
-    found = lines(page)
-    article = any(inside and not skip for _, _, skip, inside in found)
-    lengths = [0 if skip or (article and not inside) or (not inside and 2 * link > len(text)) else len(text) for text, link, skip, inside in found]
+    found = [(text, link, inside) for text, link, skip, inside in lines(page) if not skip]
+    article = any(inside for _, _, inside in found)
+    lengths = [0 if (article and not inside) or (not inside and 2 * link > len(text)) else len(text) for text, link, inside in found]
     parts = runs(lengths)
     weights = [sum(lengths[a : b + 1]) for a, b in parts]
     if not article and parts:
