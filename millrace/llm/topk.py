@@ -148,8 +148,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     set_ids = [r[0] for r in sets.select("queries").toLocalIterator()]
     if not shard_ids or not set_ids:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, id long, score long")
-    left = shards.withColumn("queries", F.explode(F.array(*map(F.lit, set_ids))))
-    right = sets.withColumn("shard", F.explode(F.array(*map(F.lit, shard_ids))))
+    # both sides' keys must be of one type, or the groups never meet
+    each = lambda ids: F.explode(F.array(*map(F.lit, ids)).cast("array<long>"))
+    left = shards.withColumn("queries", each(set_ids))
+    right = sets.withColumn("shard", each(shard_ids))
     tiles = left.groupBy("shard", "queries").cogroup(right.groupBy("shard", "queries")).applyInArrow(lambda a, b: _tile(a, b, k), "query_id long, ids array<long>, scores array<long>")
     pairs = tiles.select("query_id", F.transform(F.arrays_zip("ids", "scores"), lambda x: F.struct((-x["scores"]).alias("s"), x["ids"].alias("id"))).alias("best"))
     best = pairs.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
