@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bit_filter, materialise, stable
 
 MIN_SITES = 5
 LG_K = 12
@@ -56,14 +56,21 @@ def boilerplate(docs: DataFrame, key: str = "doc_id", site: str = "source", text
 
 def remove_boilerplate(docs: DataFrame, key: str = "doc_id", site: str = "source", text: str = "text", min_sites: int = MIN_SITES) -> DataFrame:
     """Every document with its columns, its text without boilerplate, and _lines, _removed."""
+    docs = stable(docs)
     flagged = materialise(boilerplate(docs, key, site, text, min_sites))
+    doc = lambda c: F.col("_doc")[c]
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), F.monotonically_increasing_id().alias("_row"))
-    hashes = F.array_distinct(F.transform(F.split(F.col(f"_doc.{text}"), "\n"), line_hash))
-    held = rows.select("_row", F.col(f"_doc.{key}").alias("id"), F.xxhash64(F.col(f"_doc.{text}")).alias("t"), F.explode(hashes).alias("h"))
-    gone = held.where(F.col("h").isNotNull()).join(flagged, "h").where(~(F.col("id").eqNullSafe(F.col("keeper.id")) & (F.col("t") == F.col("keeper.t"))))
+    # most documents hold no flagged line: a bit for each hash tells, and spares them the join
+    flag = bit_filter(flagged.select("h"))
+    hashes = F.array_distinct(F.transform(F.split(doc(text), "\n"), line_hash))
+    suspect = F.filter(hashes, lambda h: h.isNotNull() & F.coalesce(flag(h), F.lit(False)))
+    held = rows.select("_row", doc(key).alias("id"), F.xxhash64(doc(text)).alias("t"), F.explode(suspect).alias("h"))
+    gone = held.join(flagged, "h").where(~(F.col("id").eqNullSafe(F.col("keeper.id")) & (F.col("t") == F.col("keeper.t"))))
     gone = materialise(gone.groupBy("_row").agg(F.collect_list("h").alias("gone")))  # at most the lines of one document
-    out = rows.join(gone, "_row", "left")
-    lines = F.split(F.col(f"_doc.{text}"), "\n")
-    kept = F.when(F.col("gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("gone"), line_hash(x)), F.lit(False))))
+    some = F.coalesce(F.size(suspect) > 0, F.lit(False))
+    out = rows.where(some).join(gone.hint("shuffle_hash"), "_row", "left").unionByName(rows.where(~some).withColumn("gone", F.lit(None).cast("array<long>")))
+    lines = F.split(doc(text), "\n")
+    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("gone"), line_hash(x)), F.lit(False)))
+    new = F.when(F.col("gone").isNull(), doc(text)).otherwise(F.array_join(kept, "\n"))
     made = {"_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "_removed": F.when(F.col("gone").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long")}
-    return out.select(*[(F.array_join(kept, "\n") if c == text else F.col("_doc")[c]).alias(c) for c in docs.columns if c not in made], *[x.alias(n) for n, x in made.items()])
+    return out.select(*[(new if c == text else doc(c)).alias(c) for c in docs.columns if c not in made], *[x.alias(n) for n, x in made.items()])
