@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bit_filter, materialise
 
 KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT = 60
@@ -36,7 +36,7 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?:\G|(?<![0-9]))(?=[0-9](?:[ -]?[0-9]){11})[0-9]++(?:[ -][0-9]++)*+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 IP_PARTS = r"^0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$"
-TERM = r"[\p{L}\p{M}]{3,}+"
+TERM = r"[\p{L}\p{M}\p{N}]{3,}+"
 
 
 def find(text: Column, pattern: str, start: Column | None = None) -> Column:
@@ -112,9 +112,10 @@ def sanitise(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
     entities = found.select("_row", F.explode("spans").alias("s")).select("_row", F.concat_ws(":", "s.kind", F.lower("s.m")).alias("e")).distinct().groupBy("e").agg(F.count("*").alias("n_e"))
     pairs = context.select("_row", "t", "e").distinct().groupBy("t", "e").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
     pairs = materialise(pairs)
-    terms = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(docs[text], F.lit("")), F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
+    every_term = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(docs[text], F.lit("")), F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))).alias("t"))
+    terms = every_term.where(bit_filter(pairs.select(F.xxhash64("t")))(F.xxhash64("t"))).groupBy("t").agg(F.count("*").alias("n_t"))
     n = float(docs.count())
-    known = pairs.join(entities, "e").join(terms.join(pairs.select("t").distinct(), "t", "left_semi"), "t")
+    known = pairs.join(entities, "e").join(terms, "t")
     information = F.log2(F.lit(n) / F.col("n_e"))
     disclosed = F.log2(F.lit(n) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     strong = materialise(known.where((information > 0) & (disclosed >= DISCLOSURE * information)).select("t", "e"))
