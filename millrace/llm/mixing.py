@@ -2,8 +2,8 @@
 
 A naive Bayes classifier, fitted on labelled rows, gives each document a posterior over the
 domains (the values of a label). Its features are words of the text that tell the domains
-apart (the VOCABULARY words of highest mutual information) and the shape of the text:
-shares of punctuation, digits and blanks, and the mean word length, in steps.
+apart (the VOCABULARY words of highest mutual information) and the shape of the text: the
+share of signs that prose seldom holds and the mean word length, in steps.
 
 Then each document gets a rate (how often it is to be read), so that the expected tokens of
 each domain, the sum over documents of rate * tokens * posterior, match the targets. The
@@ -35,16 +35,21 @@ TOLERANCE = 1e-7
 RIDGE = 1e-3
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, "[ \\x09-\\x0D]"), lambda w: w != "")
+#: Signs that prose seldom holds.
+SIGNS = r"[#$%&*|_+=<>@^~/\\]"
 
 
-def _shape(text: Column, words: Column) -> Column:
+def _split(rows: DataFrame) -> DataFrame:
+    """_t as words w, in lower case, between ASCII white space."""
+    plain = F.regexp_replace(F.lower(F.col("_t")), "[\\x09-\\x0D]", " ")
+    return rows.withColumn("_w", F.array_remove(F.split(plain, " "), ""))
+
+
+def _shape() -> Column:
     """A few names of what the text looks like; a text without characters has none."""
-    n = F.length(text)
-    without = lambda chars: n - F.length(F.translate(text, chars, ""))
+    n, words = F.length("_t"), F.size("_w")
     step = lambda name, x, most: F.concat(F.lit(f"\u0001{name}"), F.least(F.floor(x), F.lit(most)).cast("string"))
-    shares = [step("p", 40 * without("#$%&*|_-+=<>@^~/\\") / n, 12), step("d", 60 * without("0123456789") / n, 6), step("s", 30 * without(",.;:!?") / n, 8), step("w", 2 * (n - F.size(words)) / F.greatest(F.size(words), F.lit(1)), 30)]
+    shares = [step("p", 40 * F.regexp_count("_t", F.lit(SIGNS)) / n, 12), step("w", 2 * n / F.greatest(words, F.lit(1)), 40)]
     return F.when(n > 0, F.array(*shares)).otherwise(F.array().cast("array<string>"))
 
 
@@ -64,10 +69,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     for c in sorted(sizes):
         part = known.where(F.col("c") == c).orderBy(F.xxhash64("k"), "k").limit(SAMPLE_ROWS)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(materialise(chosen)), "k")  # at most SAMPLE_ROWS ids a domain
-    words = _words(F.col("t"))
-    features = texts.select("c", F.array_distinct(F.concat(F.transform(words, lambda w: F.lower(w)), _shape(F.col("t"), words))).alias("f"))
-    features = materialise(features)
+    texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(materialise(chosen)), "k")  # at most SAMPLE_ROWS ids a domain
+    features = materialise(_split(texts).select("c", F.array_distinct(F.concat("_w", _shape())).alias("f")))
     n = {r["c"]: r["count"] for r in features.groupBy("c").count().collect()}
     if not n:
         return None
@@ -89,13 +92,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def posteriors(docs: DataFrame, model: Classifier | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """_row, key, n_tokens, p (an array, one share a domain) of every document."""
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    words = _words(F.col("_t"))
-    size = F.size(words).cast("long").alias("n_tokens")
+    rows = _split(rows)
+    size = F.size("_w").cast("long").alias("n_tokens")
     if model is None:
         return rows.select("_row", "_key", size, F.array(F.lit(1.0)).alias("p"))
-    vocabulary = F.array(*[F.lit(w) for w in model.logs if not w.startswith("\u0001")]) if any(not w.startswith("\u0001") for w in model.logs) else F.array().cast("array<string>")
-    hits = F.concat(F.array_intersect(F.transform(words, lambda w: F.lower(w)), vocabulary), _shape(F.col("_t"), words))
-    base = materialise(rows.select("_row", "_key", size, hits.alias("f")))
+    words = [F.lit(w) for w in model.logs if not w.startswith("\u0001")]
+    vocabulary = F.array(*words) if words else F.array().cast("array<string>")
+    base = materialise(rows.select("_row", "_key", size, F.concat(F.array_intersect("_w", vocabulary), _shape()).alias("f")))
     spark, k = docs.sparkSession, len(model.domains)
     weights = spark.createDataFrame([(w, *map(float, x)) for w, x in model.logs.items()], "w string, " + ", ".join(f"l{i} double" for i in range(k)))
     found = base.select("_row", F.explode("f").alias("w")).join(F.broadcast(weights), "w").groupBy("_row").agg(*[F.sum(f"l{i}").alias(f"l{i}") for i in range(k)])
