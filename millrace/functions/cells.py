@@ -137,9 +137,9 @@ def name_part(c: Column, part: str = "first") -> Column:
     n = F.size(words)
     if part == "last":
         plain = F.when(n > 1, F.element_at(words, -1)).otherwise("")
-        return F.when(t.contains(","), F.get(pieces, 0)).otherwise(plain)
+        return F.when(t.contains(","), F.get(pieces, 0)).when(t.isNotNull(), plain)
     plain = F.when(n > 1, F.array_join(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(1))), " ")).otherwise(t)
-    return F.when(t.contains(","), F.get(pieces, 1)).otherwise(plain)
+    return F.when(t.contains(","), F.get(pieces, 1)).when(t.isNotNull(), plain)
 
 
 # -- types ----------------------------------------------------------------------------------------

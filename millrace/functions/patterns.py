@@ -16,10 +16,11 @@ def _valid(pattern: str) -> int | None:
         except re.error:
             return None
     from py4j.protocol import Py4JJavaError
+    from pyspark.errors import IllegalArgumentException
 
     try:
         return spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern).matcher("").groupCount()
-    except Py4JJavaError:
+    except (Py4JJavaError, IllegalArgumentException):
         return None
 
 

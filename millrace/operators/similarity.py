@@ -9,12 +9,11 @@ can act, so no block of the data goes to one task as a whole.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
-
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import cells
 from ..plans.table import RID, Table
@@ -66,12 +65,12 @@ def most_similar(n: int, m: int) -> float:
     return jaro + 0.4 * (1 - jaro)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler_of(x, y) for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _plain(c: pd.Series) -> pd.Series:
     """Lower case, decomposed, without diacritics."""
     return c.map(lambda s: None if s is None else "".join(x for x in unicodedata.normalize("NFKD", s.strip().lower()) if not "̀" <= x <= "ͯ"))
@@ -123,9 +122,8 @@ def similar_pairs(items: DataFrame, threshold: float, block: str | None = None)
     most = place.groupBy("b").agg(F.max("chunk").alias("top"))
     spread = place.join(most, "b").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("top")))).select("b", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "s")
 
-    def tile(key, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(rows).sort_by("id")
-        i, j = key[1].as_py(), key[2].as_py()
+    def tile(key, table):
+        table, i, j = table.sort_by("id"), key[1].as_py(), key[2].as_py()
         every = list(zip(table.column("chunk").to_pylist(), table.column("id").to_pylist(), table.column("s").to_pylist(), strict=True))
         left = [x for x in every if x[0] == i]
         right = left if i == j else [x for x in every if x[0] == j]
@@ -134,7 +132,7 @@ def similar_pairs(items: DataFrame, threshold: float, block: str | None = None)
             for _, y, u in right[k + 1 :] if i == j else right:
                 if most_similar(len(s), len(u)) >= threshold and jaro_winkler_of(s, u) >= threshold:
                     out.append((min(x, y), max(x, y)))
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+        return pa.Table.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
     return spread.groupBy("b", "i", "j").applyInArrow(tile, "a long, b long")
 
@@ -148,7 +146,8 @@ def groups_of(pairs: DataFrame) -> DataFrame:
         new = root.join(near, root.id == near.a).select("id", F.least("root", "near").alias("root"), (F.col("near") < F.col("root")).alias("moved"))
         # jump to the root's root
         jump = new.select(F.col("id").alias("root"), F.col("root").alias("far"))
-        new = new.join(jump, "root").select("id", F.col("far").alias("root"), (F.col("moved") | (F.col("far") < F.col("root"))).alias("moved")).checkpoint() if _checkpoints(pairs) else new.join(jump, "root").select("id", F.col("far").alias("root"), (F.col("moved") | (F.col("far") < F.col("root"))).alias("moved")).persist()
+        new = new.join(jump, "root").select("id", F.col("far").alias("root"), (F.col("moved") | (F.col("far") < F.col("root"))).alias("moved"))
+        new = new.checkpoint() if _checkpoints(pairs) else new.persist()
         if new.where("moved").isEmpty():
             both.unpersist()
             return new.select("id", "root")

@@ -111,7 +111,7 @@ steps("replace_bad_regex", "dirty_customer", ["id", "phone"], [("replace", {"col
 steps("extract_group", "part", ["p_partkey", "p_brand"], [("extract", {"column": "p_brand", "pattern": "#([0-9]+)", "into": "brand_no"})], "SELECT p_partkey, p_brand, regexp_extract(p_brand, '#([0-9]+)', 1) AS brand_no FROM part")
 steps("extract_whole", "events", ["event_id", "props"], [("extract", {"column": "props", "pattern": "[0-9]{2,}"})], "SELECT event_id, props, CASE WHEN regexp_matches(props, '[0-9]{2,}') THEN regexp_extract(props, '[0-9]{2,}') END AS props_extract FROM events")
 steps("split_fixed", "part", ["p_partkey", "p_name"], [("splitColumn", {"column": "p_name", "delimiter": " "})], "SELECT p_partkey, string_split(p_name, ' ')[1] AS p_name_1, string_split(p_name, ' ')[2] AS p_name_2 FROM part")
-steps("split_keep", "dirty_customer", ["id", "phone"], [("splitColumn", {"column": "phone", "delimiter": "-", "keepOriginal": True})], "SELECT id, phone, string_split(phone, '-')[1] AS phone_1, string_split(phone, '-')[2] AS phone_2, string_split(phone, '-')[3] AS phone_3 FROM dirty_customer")
+steps("split_keep", "dirty_customer", ["id", "phone"], [("splitColumn", {"column": "phone", "delimiter": "-", "keepOriginal": True})], "SELECT id, phone, string_split(phone, '-')[1] AS phone_1, string_split(phone, '-')[2] AS phone_2, string_split(phone, '-')[3] AS phone_3, string_split(phone, '-')[4] AS phone_4 FROM dirty_customer")
 steps("merge_columns", "dirty_customer", ["id", "name", "segment", "flag"], [("mergeColumns", {"columns": ["flag", "segment", "name"], "separator": "|", "name": "all_three"})], "SELECT id, name, segment, flag, concat_ws('|', nullif(name, ''), nullif(segment, ''), nullif(flag, '')) AS all_three FROM dirty_customer")
 steps("rename_delete_move", "nation", ["n_nationkey", "n_name", "n_regionkey"], [("renameColumn", {"column": "n_name", "name": "country"}), ("deleteColumns", {"columns": ["n_regionkey"]}), ("moveColumn", {"column": "country", "dir": -1})], "SELECT n_name AS country, n_nationkey FROM nation")
 
