@@ -40,7 +40,7 @@ MODEL_ENTRIES = 100_000
 DISCOUNT = 0.75
 EVIDENCE = 4.0
 WINDOW = 12
-FLUSH = 200_000
+FLUSH = 60_000
 WORD = b"\n"
 
 
