@@ -4,8 +4,8 @@ One model is of texts labelled toxic, one of ordinary ones. Bigrams back off to
 a word's lower-order count is the number of contexts it is seen in; a context here is a
 whole text, so that one text's repetitions are no evidence. Both classes back off to the
 counts of the two together. An expression keeps a count of its own (less DISCOUNT) in a
-class only where the classes differ by more than EVIDENCE standard errors from what the
-level below expects; of any rarer expression the whole count is discounted, so it is as
+class only where the classes differ by more than EVIDENCE standard errors, and by the factor
+FACTOR, from what the level below expects; of any rarer expression the whole count is discounted, so it is as
 likely in either class. A token's evidence is the log ratio of its two probabilities; a
 text's is the mean over its tokens (length-normalised), the mean of its positive part, and
 the highest mean over a window of WINDOW tokens, which a long text does not dilute. A
@@ -13,7 +13,7 @@ logistic curve over these gives the score; it is fitted on texts that the counts
 have not seen (two halves, crosswise).
 
 Fitted on a sample of labelled rows: of each class the SAMPLE_ROWS rows whose id has the
-smallest hash, a bound however many there are; at most MODEL_ENTRIES words and as many
+smallest hash, a bound however many there are, less near copies of others; at most MODEL_ENTRIES words and as many
 bigrams are kept, so the model has a size bound. Only words of the text are inputs. Every
 text is scored whole.
 
@@ -32,14 +32,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_map, as_bytes, id_hash, letter_words, materialise, rows_of
+from .near_dedup import shingles, sketch
 
 SAMPLE_ROWS = 4_000
 MODEL_ENTRIES = 100_000
 DISCOUNT = 0.75
 EVIDENCE = 4.0
+FACTOR = 4.0
 WINDOW = 12
+COPY_BITS = 96  # of 384 that two texts' sketches may differ in and still be copies
 FLUSH = 60_000
 WORD = b"\n"
 
@@ -97,7 +101,24 @@ def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
         return None, sizes
     chosen = materialise(chosen)  # at most 2 * SAMPLE_ROWS ids
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")
-    return materialise(texts.select("c", F.pmod(F.xxhash64("k", F.lit(1)), F.lit(2)).cast("int").alias("half"), "t")), sizes
+    texts = materialise(texts.select("k", "c", F.pmod(F.xxhash64("k", F.lit(1)), F.lit(2)).cast("int").alias("half"), "t"))
+    return _without_copies(texts), sizes
+
+
+def _without_copies(texts: DataFrame) -> DataFrame:
+    """Of texts that are nearly the same, the one with the smallest id. The sample is bounded,
+    and so are its sketches."""
+    sketches = arrow_map(texts, {"t": F.col("t")}, ["k"], {"s": "binary"}, lambda got: {"s": [sketch(shingles(t, 3)) for t in as_bytes(got["t"])]}).toArrow().sort_by("k")
+    if not sketches.num_rows:
+        return texts
+    bits = np.frombuffer(b"".join(sketches.column("s").to_pylist()), np.uint8).reshape(sketches.num_rows, -1).view(np.uint64)
+    free = np.ones(len(bits), bool)
+    for i in range(len(bits)):
+        if free[i]:
+            free[i + 1 :] &= np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(1) > COPY_BITS
+    ids = {k for k, stays in zip(sketches.column("k").to_pylist(), free.tolist(), strict=True) if stays}
+    kept = texts.sparkSession.createDataFrame([(k,) for k in sorted(ids)], T.StructType([T.StructField("k", texts.schema["k"].dataType)]))
+    return texts.join(F.broadcast(kept), "k").dropDuplicates(["k"])
 
 
 def _counts(texts: DataFrame) -> DataFrame:
@@ -123,9 +144,12 @@ def _counts(texts: DataFrame) -> DataFrame:
 
 
 def _differ(n0, n1, share1):
-    """Whether n1 of n0 + n1 is further from its expected share than chance explains."""
+    """Whether n1 of n0 + n1 is further from its expected share than chance explains, and
+    the classes' rates are FACTOR apart (a language or subject that one class has more of
+    moves the rates of all its common words, but by less)."""
     e = (n0 + n1) * share1
-    return F.abs(n1 - e) > EVIDENCE * F.sqrt(e) + 1
+    own, other = n1 * (1 - share1), n0 * share1
+    return (F.abs(n1 - e) > EVIDENCE * F.sqrt(e) + 1) & ((own >= FACTOR * other) | (other >= FACTOR * own))
 
 
 def _build(counts: DataFrame) -> Model | None:
