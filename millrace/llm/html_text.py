@@ -31,9 +31,10 @@ INLINE = "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins
 SKIPPED = "nav footer aside form button menu dialog fieldset header"
 VOID = "area base br col embed hr img input link meta param source track wbr"
 WORDS = "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments commentlist disqus respond reply replies share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay pagination pager toolbar skip alert"
+OWN = "article post entry story"
 ROLES = "navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar"
 
-_RAW, _INLINE, _SKIPPED, _VOID, _WORDS, _ROLES = (frozenset(x.split()) for x in (RAW, INLINE, SKIPPED, VOID, WORDS, ROLES))
+_RAW, _INLINE, _SKIPPED, _VOID, _WORDS, _OWN, _ROLES = (frozenset(x.split()) for x in (RAW, INLINE, SKIPPED, VOID, WORDS, OWN, ROLES))
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^<>]*)>""", re.DOTALL)
 _ATTR = re.compile(r"""([A-Za-z_:][\w:.-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -56,8 +57,8 @@ def _skipped(name: str, attributes: dict[str, str], inside: bool) -> bool:
     if not named.strip():
         return False
     parts = {p.lower() for p in _PART.findall(named)}
-    if inside:
-        parts -= {"header", "banner", "related", "notice", "alert"} if name in ("header", "h1", "h2") else set()
+    if inside or parts & _OWN:  # an article's header holds its title
+        parts -= {"header"}
     return bool(parts & _WORDS)
 
 
