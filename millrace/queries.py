@@ -153,7 +153,7 @@ for _op, _value, _where in (
     ("notContains", "UIL", "NOT contains(lower(coalesce(segment, '')), 'uil')"),
     ("empty", None, "segment IS NULL OR trim(segment) = ''"),
     ("notEmpty", None, "NOT (segment IS NULL OR trim(segment) = '')"),
-    ("between", None, "true"),
+    ("unknown", None, "true"),
 ):
     steps(f"filter_{_op}", "dirty_customer", ["id", "segment"], [("filterRows", {"column": "segment", "op": _op, "value": _value})], f"SELECT id, segment FROM dirty_customer WHERE {_where}")
 for _op, _sign in (("gt", ">"), ("lt", "<"), ("gte", ">="), ("lte", "<=")):

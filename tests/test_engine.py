@@ -21,6 +21,7 @@ from millrace.plans.table import RID, from_df
 from millrace.plans.view import changed_mask, order_by, sort_cycle, step_delta, subset, view, window
 from millrace.queries import ORACLES, QUERIES
 from millrace.sources import files
+from millrace.sources.sample import sample_table
 from millrace.streaming.recipes import fold_batches, fold_stream
 
 from . import plain
@@ -276,6 +277,16 @@ def test_quality_and_suggestions(spark):
     assert done.df.count() < t.df.count() and analysis.quality(done)["score"] > q["score"]
 
 
+def test_sample_end_to_end(spark):
+    t = sample_table(spark)
+    assert t.df.count() == 15 and {m.name: m.logical for m in t.metas} == {"Name": "text", "Country": "text", "Signup Date": "date", "Phone": "text", "Plan": "text", "Revenue": "decimal"}
+    before = analysis.quality(t)["score"]
+    r = Recipe().set_ops(analysis.suggestions(t)).add("standardizeDate", column="Signup Date").add("parseField", column="Phone", kind="phone").add("fuzzyDedupe", columns=["Name"], threshold=0.9)
+    done = r.fold(t)
+    assert done.df.count() < 12 and analysis.quality(done)["score"] > before
+    assert "2023-12-25" in column(done, "Signup Date") and "+14155550101" in column(done, "Phone")
+
+
 def test_recipes(spark):
     r = Recipe(name="r").add("trim", columns=["x"]).add("filterRows", column="x", op="notEmpty").add("dedupeRows")
     t = rows(spark, ["x"], [[" a"], ["a"], [""]])
