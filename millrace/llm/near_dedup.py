@@ -14,8 +14,14 @@ by agreement on a block of its other bits. What a cell finds is compared over th
 sketch (at most NEAR bits of it may differ, which similarity 0.8 passes but for 1 in 300), and the cell
 returns the spanning forest of its links that is made of the most similar ones: as many
 rows as documents at most, not all pairs of a group. Each returned link is then verified on
-the two whole shingle sets. Documents with the same set are one point throughout, so groups
-of copies cost one row. Classes are the components of the verified links.
+the two whole shingle sets.
+
+That joins large groups cheaply, but a forest may drop a true link for ones that only look
+nearer. So an exact join follows: sets of the stated similarity share a shingle among the
+first n - ceil(SIMILARITY n) + 1 of each, in any order of all shingles. Points that share one,
+are not yet in one component and pass the bounds of size and position are verified too, all
+of them. Documents with the same set are one point throughout, so groups of copies cost one
+row. Classes are the components of all links of the stated similarity.
 
 Nulls: a null text, as any text without words, has the empty set, and such texts are one
 class. The keeper of a class is its smallest id (null ids last), then its first row.
@@ -39,6 +45,9 @@ WORD_BITS = 24
 ERRORS = 2
 NEAR = 78
 CELL_ROWS = 20_000
+COMMON = 200_000  # shingles known as common: those of COMMON_ROWS texts of a sample of 1 in COMMON_SHARE
+COMMON_ROWS = 3
+COMMON_SHARE = 16
 _SALT = (np.arange(1, TABLES * WORD_BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
 
 
@@ -251,12 +260,122 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     points = materialise(marked.groupBy("pid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), keeper))
     links = candidate_links(points.where("n > 0").select("pid", "n", "sketch"), similarity)
     verified = materialise(_verified(rows, links, size, similarity))
-    of = points.join(components(verified), points.pid == F.col("node"), "left").select("pid", "keeper", F.coalesce("root", "pid").alias("root"))
+    of = materialise(_rooted(points, verified))
+    missed = materialise(open_pairs(rows, of.where("n > 0"), size, similarity))
+    if not missed.isEmpty():
+        verified = materialise(verified.unionByName(_verified(rows, missed, size, similarity)))
+        of = _rooted(points, verified)
     best = of.groupBy("root").agg(F.min("keeper").alias("keeper"))
     found = of.select("pid", "root").join(best, "root")
     return marked.select("_row", F.col("pid").alias("_pid")).join(found, F.col("_pid") == F.col("pid")).select("_row", "_pid", "root", "keeper")
 
 
+def _rooted(points: DataFrame, links: DataFrame) -> DataFrame:
+    return points.join(components(links), points.pid == F.col("node"), "left").select("pid", "n", "keeper", F.coalesce("root", "pid").alias("root"))
+
+
+def _common(rows: DataFrame, size: int) -> np.ndarray:
+    """Sorted hashes of shingles that many texts of a sample hold, rarest first; at most
+    COMMON. Which ones they are decides the order of shingles, not what is found."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            hs = [shingles(t, size) for t in as_bytes(batch.column(0))]
+            yield {"h": pa.array(np.concatenate([np.zeros(0, np.uint64), *hs]).view(np.int64))}
+
+    some = rows.where(F.pmod(F.xxhash64("_t"), F.lit(COMMON_SHARE)) == 0)
+    held = rows_of(some, [F.col("_t")], "h long", work).groupBy("h").count().where(F.col("count") >= COMMON_ROWS)
+    got = held.orderBy(F.desc("count"), "h").limit(COMMON).select("h").toArrow()
+    return got.column("h").to_numpy()[::-1].copy()
+
+
+def open_pairs(rows: DataFrame, of: DataFrame, size: int, similarity: float) -> DataFrame:
+    """of: pid, n, keeper, root. Distinct pairs a < b of different roots, among them all
+    pairs of the given similarity: two such sets share a shingle of their prefixes, whatever
+    the order of shingles; here it is rare ones first."""
+    common = _common(rows, size)
+    place = np.argsort(common)
+    sent = rows.sparkSession.sparkContext.broadcast((common[place], place))
+
+    def prefix(got: dict) -> dict:
+        known, rank = sent.value
+        out: list[np.ndarray] = []
+        for t in as_bytes(got["t"]):
+            h = shingles(t, size).view(np.int64)
+            if len(h) and len(known):
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                h = h[np.lexsort((h, np.where(known[at] == h, rank[at] + 1, 0)))]
+            out.append(h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1])
+        return {"hs": out}
+
+    starts = arrow_map(rows, {"t": F.col("_t")}, ["_row"], {"hs": "array<long>"}, prefix)
+    named = starts.join(of.select("pid", "n", "root", F.col("keeper.row").alias("_at")), F.col("_row") == F.col("_at"))
+    # most points are their own roots, which a null says in fewer bytes
+    flat = named.select("pid", F.when(F.col("root") != F.col("pid"), F.col("root")).alias("root"), "n", F.posexplode("hs").alias("pos", "h"))
+    spread = flat.repartition("h").sortWithinPartitions("h")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _whole(batches):
+            h, pid, root, n, pos = (part.column(c).to_numpy() for c in ("h", "pid", "root", "n", "pos"))
+            for a, b in cross_pairs(h, pid, root, n.astype(np.int64), pos.astype(np.int64), similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return spread.select("h", "pid", F.coalesce("root", "pid").alias("root"), "n", "pos").mapInArrow(work, "a long, b long").distinct()
+
+
+def cross_pairs(h: np.ndarray, pid: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray, similarity: float, batch: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of points that share h, have different roots, and whose sizes and places of h
+    (which may be the first they share) leave room for the similarity."""
+    order = np.lexsort((root, h))
+    h, pid, root, n, pos = h[order], pid[order], root[order], n[order], pos[order]
+    new_list = np.concatenate([[True], h[1:] != h[:-1]])
+    new_root = new_list | np.concatenate([[True], root[1:] != root[:-1]])
+
+    def end(new: np.ndarray) -> np.ndarray:
+        starts = np.flatnonzero(new)
+        return np.concatenate([starts[1:], [len(h)]])[np.cumsum(new) - 1]
+
+    # a member meets those of its list that come after its own root's
+    first, last = end(new_root), end(new_list)
+    some = np.flatnonzero(last > first)
+    sizes = (last - first)[some]
+    ends = np.cumsum(sizes)
+    lo = 0
+    while lo < len(some):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + batch, side="right")))
+        count = sizes[lo:hi]
+        x = np.repeat(some[lo:hi], count)
+        y = np.repeat(first[some[lo:hi]], count) + np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count)
+        shared = np.minimum(n[x] - pos[x], n[y] - pos[y])
+        ok = (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9) & (shared * (1 + similarity) >= similarity * (n[x] + n[y]) - 1e-9)
+        a, b = np.minimum(pid[x[ok]], pid[y[ok]]), np.maximum(pid[x[ok]], pid[y[ok]])
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+        yield a[fresh], b[fresh]
+        lo = hi
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted batches as tables that end where the first column changes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= 10 * CELL_ROWS:
+            table = pa.Table.from_batches(held)
+            key = table.column(0).to_numpy()
+            whole = np.flatnonzero(key != key[-1])
+            cut = int(whole[-1]) + 1 if len(whole) else 0
+            if cut:
+                yield table.slice(0, cut)
+            held = table.slice(cut).combine_chunks().to_batches()
+            size -= cut
+    if size:
+        yield pa.Table.from_batches(held)
+
+
 def _verified(rows: DataFrame, links: DataFrame, size: int, similarity: float) -> DataFrame:
     """Links whose whole shingle sets are similar enough."""
     ends = links.select(F.explode(F.array("a", "b")).alias("pid")).distinct()

@@ -154,6 +154,30 @@ def test_near_copies_split_cells(spark, monkeypatch):
     test_near_copies_by_similarity(spark)
 
 
+def exact_classes(spark, texts):
+    """Near-copy classes of the texts, and what all pairs of shingle sets give."""
+    sets = {i: brute.shingle_set(t) for i, t in texts.items()}
+    ids = sorted(sets)
+    links = [(i, j) for i in ids for j in ids if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(4)
+    docs = near_dedup.stable(docs)
+    key_of = {r["_row"]: r["doc_id"] for r in docs.select("doc_id", F.monotonically_increasing_id().alias("_row")).collect()}
+    got = {key_of[r["_row"]]: r["keeper"]["id"] for r in near_dedup.classes(docs).collect()}
+    return got, brute.components(ids, links)
+
+
+def test_near_copies_of_a_template(spark):
+    rng = random.Random(11)
+    base, texts = [f"w{k}" for k in range(240)], {}
+    for i in range(300):
+        ws = list(base)
+        for k in rng.sample(range(240), 4):
+            ws[k] = f"x{i}_{k}"
+        texts[i] = " ".join(ws)
+    got, want = exact_classes(spark, texts)
+    assert got == want and 1 < len(set(want.values())) < 300
+
+
 def test_secrets(spark, odd, none, small, texts):
     model = secrets.train(odd)
     for r in secrets.scan(odd, model).collect():
