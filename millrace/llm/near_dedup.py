@@ -5,8 +5,9 @@ SIMILARITY (0.8 over five words, unless told otherwise). Two equal fingerprints
 tell little about that, so a document gets TABLES short fingerprints of WORD_BITS bits, one
 sketch together. In each table the fingerprints form a binary trie that is joined with
 itself: node pairs are walked together, differing bits add up, and a pair of nodes is
-dropped beyond ERRORS bits. Documents of similarity 0.8 differ in 15 % of their bits, so a
-table finds 27 % of such pairs and the tables together 99 %, more of closer ones.
+dropped beyond ERRORS bits. Large documents of similarity 0.8 differ in 15 % of their bits, so
+a table finds 27 % of such pairs and the tables together 99 %, more of closer ones; of short
+documents, whose majority bits are biased, they find fewer.
 
 A table is dealt out in cells: two fingerprints within ERRORS bits agree on one of
 ERRORS + 1 blocks of bits, and those that agree meet; a cell above CELL_ROWS is cut again

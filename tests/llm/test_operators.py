@@ -178,6 +178,15 @@ def test_near_copies_of_a_template(spark):
     assert got == want and 1 < len(set(want.values())) < 300
 
 
+def test_near_copies_of_short_texts(spark):
+    texts = {}
+    for i in range(400):
+        ws = [f"t{i}_{k}" for k in range(8)]
+        texts |= {2 * i: " ".join(ws), 2 * i + 1: " ".join([*ws, "more"])}
+    got, want = exact_classes(spark, texts)
+    assert got == want and len(set(want.values())) == 400
+
+
 def test_secrets(spark, odd, none, small, texts):
     model = secrets.train(odd)
     for r in secrets.scan(odd, model).collect():
