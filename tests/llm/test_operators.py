@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate as dc
-from millrace.llm import html_text, language_model, line_dedup, mixing, near_dedup, oracles, pii, queries, secrets, simhash, topk, toxicity
+from millrace.llm import language_model, line_dedup, mixing, near_dedup, oracles, pii, queries, secrets, simhash, topk, toxicity
 
 from . import brute
 
@@ -370,20 +370,3 @@ def test_mixing(spark, small, odd, none):
     assert mixing.mix(odd, labels, {0: 0.5, 1: 0.5}).count() == len(ODD)
     assert mixing.mix(odd, labels.limit(0), {0: 0.5, 1: 0.5}).where("rate = 1").count() == len(ODD)
     assert mixing.mix(none, labels, {1: 1.0}).count() == 0
-
-
-PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
-<header><h2>Site</h2></header><nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
-<div class=ad>Buy now<p>really</div><article><h1>Head &amp; line</h1><p>First <b>bold</b>
- text.<p>Second&nbsp;one<br>third</p><aside>Side</aside><div class="advert">Ad</div><form>Name <input></form><p>Last &lt;p&gt;.</p>
-</article><section id="comments"><p>A comment that is long enough to look like text.</p></section><footer>&copy; me</footer></body></html>"""
-
-
-def test_html(spark):
-    assert html_text.main_text(PAGE) == "Head & line\nFirst bold text.\nSecond one\nthird\nLast <p>."
-    plain = PAGE.replace("<article>", "<div class='post'>").replace("</article>", "</div>")
-    assert html_text.main_text(plain) == html_text.main_text(PAGE)
-    assert html_text.main_text("") == html_text.main_text("<div></div>") == "" and html_text.main_text("just text") == "just text"
-    rows = [(1, "u", None), (2, None, ""), (None, "v", PAGE), (3, "w", "<" * 5000), (4, "x", "<div>" * 3000 + "deep"), (4, "x", "<div>" * 3000 + "deep")]
-    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert [r["text"] for r in got if r["page_id"] == 4] == ["deep", "deep"] and len(got) == 6
