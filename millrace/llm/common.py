@@ -8,16 +8,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it
-    is unset (tests on one machine), a temporary folder that is then set."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is
+    unset and Spark runs on one machine (as in tests), a temporary folder that is then set."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known
@@ -35,12 +39,45 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _scans_a_file(df: DataFrame) -> bool:
+    """Whether df is one table of Parquet files, at most filtered and projected."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        if not plan.deterministic():
+            return False
+        plan = plan.children().apply(0)
+    if plan.getClass().getSimpleName() != "LogicalRelation":
+        return False
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018
+    except AnalysisException:  # files of a kind that has no row numbers
+        return False
+    return True
+
+
 def stable(df: DataFrame) -> DataFrame:
-    """df with rows that come in the same order each time it is read, as those of a table
-    of files do: for operators that know a row by its place. Anything else is written first."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString().strip().split("\n")
-    scan = all(line.lstrip(" +-:").startswith(("Relation", "Project", "Filter")) for line in plan)
-    return df if scan and "Relation" in plan[-1] else materialise(df)
+    """df itself if it is a table of Parquet files, else df written as one: then place() names
+    each row."""
+    return df if _scans_a_file(df) else materialise(df)
+
+
+def place() -> Column:
+    """For a table from stable(): which file and which row of it a row is. The same however
+    a scan is split, so results of two scans can be joined by it. (The file is given as the
+    64-bit hash of its path.)"""
+    return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+def pack(docs: DataFrame, keep: list[str], **more: Column) -> DataFrame:
+    """The kept columns as one struct, _doc, so that no name among them clashes with those
+    that an operator makes; and further columns of docs under the given names."""
+    doc = F.struct(*[docs[c].alias(c) for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
+    return docs.select(doc.alias("_doc"), *[c.alias(n) for n, c in more.items()])
+
+
+def unpack(packed: DataFrame, keep: list[str], **made: Column) -> DataFrame:
+    """The kept columns again, and the made ones, which replace kept ones of their names."""
+    return packed.select(*[F.col("_doc")[c].alias(c) for c in keep if c not in made], *[c.alias(n) for n, c in made.items()])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +99,7 @@ def as_texts(column: pa.Array) -> list[str]:
 
 
 FILTER_BITS = 1 << 21
+BATCH = 2_000  # rows that a function over texts gets at once
 
 
 def bit_filter(values: DataFrame, bits: int = FILTER_BITS) -> Callable[[Column], Column]:
@@ -100,10 +138,11 @@ def spaced(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def arrow_map(df: DataFrame, columns: dict[str, Column], keep: list[str], out: dict[str, str], work: Callable[[dict[str, pa.Array]], dict[str, list | pa.Array]]) -> DataFrame:
+def arrow_map(df: DataFrame, columns: dict[str, Column], keep: list[str], out: dict[str, str], work: Callable[[dict[str, pa.Array]], dict[str, list | pa.Array]], whole: bool = False) -> DataFrame:
     """One row out for each row in: the kept columns of df, and what work makes of the
     given columns. The given columns get names of their own, so that no name of df
-    clashes with them; a made column replaces a kept one of the same name."""
+    clashes with them; a made column replaces a kept one of the same name. work gets BATCH
+    rows at a time, or, if whole, as many as an Arrow batch has."""
     keep = [c for c in keep if c not in out]
     kept = {f"_k{i}": c for i, c in enumerate(keep)}
     given = {f"_g{i}": n for i, n in enumerate(columns)}
@@ -115,14 +154,17 @@ def arrow_map(df: DataFrame, columns: dict[str, Column], keep: list[str], out: d
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = work({n: batch.column(g) for g, n in given.items()})
-            arrays = [batch.column(k) for k in kept]
-            arrays = [a if a.type == arrow.field(i).type else a.cast(arrow.field(i).type) for i, a in enumerate(arrays)]
-            for n in made:
-                kind = arrow.field(n).type
-                arrays.append(got[n].cast(kind) if isinstance(got[n], pa.Array) else pa.array(got[n], kind))
-            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        for every in batches:
+            step = max(1, every.num_rows) if whole else BATCH
+            for lo in range(0, every.num_rows, step):
+                batch = every.slice(lo, step)
+                got = work({n: batch.column(g) for g, n in given.items()})
+                arrays = [batch.column(k) for k in kept]
+                arrays = [a if a.type == arrow.field(i).type else a.cast(arrow.field(i).type) for i, a in enumerate(arrays)]
+                for n in made:
+                    kind = arrow.field(n).type
+                    arrays.append(got[n].cast(kind) if isinstance(got[n], pa.Array) else pa.array(got[n], kind))
+                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return source.mapInArrow(run, schema)
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import random
-from collections import Counter
 
 import duckdb
 import numpy as np
@@ -12,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate as dc
-from millrace.llm import language_model, line_dedup, mixing, near_dedup, oracles, pii, queries, secrets, simhash, topk, toxicity
+from millrace.llm import line_dedup, mixing, near_dedup, oracles, pii, queries, secrets, simhash, topk, toxicity
 
 from . import brute
 
@@ -303,64 +302,6 @@ def test_toxicity(spark, small, odd, none):
     assert toxicity.score(none, model).count() == 0
 
 
-def test_language_model(spark, small, texts, odd, none):
-    from zlib import crc32
-
-    rows = queries.op2_language_model(spark, small).collect()
-    train = Counter()
-    for i, t in texts.items():
-        if crc32(str(i).encode()) % 10:
-            train.update([*brute.spaced(t), "\n"])
-    n, v = sum(train.values()), len(train)
-    sums = Counter()
-    for r in rows:
-        ws = [*brute.spaced(texts[r["doc_id"]]), "\n"]
-        base = sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
-        assert math.isclose(base, r["base_score"], rel_tol=1e-9)
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(ws), sum(train[w] > 0 for w in ws), n, crc32(str(r["doc_id"]).encode()) % 10 == 0)
-        if r["held_out"]:
-            sums.update(model=r["score"], base=r["base_score"])
-    assert sums["model"] > sums["base"]
-    got = language_model.score(odd, F.col("doc_id") != 4)
-    assert got.count() == len(ODD) and got.where("score is null or score > 0").count() == 0
-    assert language_model.score(none, F.lit(True)).count() == 0
-    assert language_model.score(odd, F.lit(False)).where("n_known > 0 or train_tokens > 0").count() == 0
-
-
-def test_gradients():
-    """Backpropagation against differences, within a window."""
-    rng = np.random.default_rng(1)
-    seqs = [rng.integers(0, language_model.CLASSES, n).astype(np.int16) for n in (9, 4, 3, 7)]
-    w = {k: v.astype(np.float64) for k, v in language_model.start_weights().items()}
-
-    class Seen(language_model.Trainer):
-        def _adam(self, g):
-            self.g = g
-
-    net = Seen(w, 0.1)
-    net.learn(seqs, 2)
-    total = sum(map(len, seqs))
-    run = language_model.Abreast(seqs, 2)
-    assert run.steps <= language_model.WINDOW
-    for k in w:
-        at = np.unravel_index(np.argmax(np.abs(net.g[k])), w[k].shape)
-        step = 1e-2
-        up, down = ({n: (x.copy()) for n, x in w.items()} for _ in range(2))
-        up[k][at] += step
-        down[k][at] -= step
-        slope = -(language_model.log_likelihood(up, seqs, 2).sum() - language_model.log_likelihood(down, seqs, 2).sum()) / (2 * step * total)
-        assert math.isclose(slope, net.g[k][at], rel_tol=2e-2)
-
-
-def test_state_is_carried_and_places_dont_matter():
-    rng = np.random.default_rng(2)
-    seqs = [rng.integers(0, language_model.CLASSES, n).astype(np.int16) for n in (100, 1, 37, 250, 16, 17)]
-    w = language_model.start_weights()
-    alone = [language_model.log_likelihood(w, [s])[0] for s in seqs]
-    for slots in (1, 2, 6):
-        assert np.allclose(language_model.log_likelihood(w, seqs, slots), alone, rtol=1e-4)
-
-
 def test_mixing(spark, small, odd, none):
     r = queries.op9_mixing(spark, small).toPandas()
     total = r.n_tokens.sum()
