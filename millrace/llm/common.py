@@ -27,12 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+#: Whether the shuffle files of a finished query go at once (Spark 4.1).
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage,
-    survives lost executors. The folder goes when the application ends."""
+    survives lost executors. The folder goes when the application ends; what the write shuffled
+    goes as soon as it is done, as nothing else can use it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
@@ -55,6 +65,15 @@ def _scans_a_file(df: DataFrame) -> bool:
     return True
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of tables from materialise() that nothing reads any more."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stable(df: DataFrame) -> DataFrame:
     """df itself if it is a table of Parquet files, else df written as one: then place() names
     each row."""

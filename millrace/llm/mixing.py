@@ -15,7 +15,10 @@ squared; rates live in the documents' rows alone.
 The classifier is fitted on the labelled ids with the smallest hash, SAMPLE_ROWS of each
 domain at most; everything else is over all rows. Nulls: a null text has no tokens, the
 prior as its posterior, and a rate as any other; rows with a null label or id teach nothing.
-Without labels there is no domain and every rate is 1. Repeated rows each get a row.
+Without labels there is no domain and every rate is 1. Repeated rows each get a row, and an
+empty table gives an empty one. Ties between words of equal information go to the smaller
+word. Columns of the documents may have any names, as none is carried along; rates are joined
+to rows by file and row in the file, which are the same however a scan is split.
 """
 
 from __future__ import annotations
@@ -26,13 +29,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, place, stable
 
 SAMPLE_ROWS = 4_000
 VOCABULARY = 256
+MERGED = 4
 STEPS = 40
 TOLERANCE = 1e-7
 RIDGE = 1e-3
+KEPT = 6  # steps after which the rates so far become a column
 
 
 #: Signs that prose seldom holds.
@@ -84,14 +89,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         for hit, size in ((F.col(f"n{i}"), total), (F.lit(own) - F.col(f"n{i}"), F.lit(every) - total)):
             gain = gain + F.when((hit > 0) & (size > 0), hit / every * F.log(hit * every / (size * F.lit(max(own, 1.0))))).otherwise(0.0)
     shape = F.col("w").startswith("\u0001")
-    top = found.where(~shape & (total >= 5)).orderBy(gain.desc(), "w").limit(VOCABULARY).unionByName(found.where(shape)).collect()  # a bounded vocabulary, and the few shapes
+    # a bounded sample's words: a few tasks, so that their best ones are few rows to merge
+    top = found.where(~shape & (total >= 5)).coalesce(MERGED).orderBy(gain.desc(), "w").limit(VOCABULARY).unionByName(found.where(shape)).collect()  # a bounded vocabulary, and the few shapes
     logs = {r["w"]: [math.log((r[f"n{i}"] + 0.5) / (n.get(d, 0) + 1.0)) for i, d in enumerate(domains)] for r in top}
     return Classifier({d: float(sizes[d]) for d in domains}, logs)
 
 
 def posteriors(docs: DataFrame, model: Classifier | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """_row, key, n_tokens, p (an array, one share a domain) of every document."""
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    """docs: a table from stable(). _row (its file and row), key, n_tokens, p (an array, one share
+    a domain) of every document."""
+    rows = docs.select(place().alias("_row"), F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     rows = _split(rows)
     size = F.size("_w").cast("long").alias("n_tokens")
     if model is None:
@@ -109,15 +116,16 @@ def posteriors(docs: DataFrame, model: Classifier | None, key: str = "doc_id", t
     return logs.select("_row", "_key", "n_tokens", F.array(*[x / total for x in raw]).alias("p"))
 
 
-def rates(members: DataFrame, targets: list[float]) -> tuple[Column, dict]:
-    """members: n_tokens, p. The rate as a column of members, and what was reached."""
+def rates(members: DataFrame, targets: list[float]) -> tuple[DataFrame, dict]:
+    """members: n_tokens, p. members with the rate, and what was reached."""
     k = len(targets)
     n, p = F.col("n_tokens").cast("double"), [F.col("p")[i] for i in range(k)]
     budget = float(members.agg(F.coalesce(F.sum(n), F.lit(0.0))).first()[0])
-    rate: Column = F.lit(1.0)
     goal = np.array(targets, float) / max(sum(targets), 1e-300)
     if not budget:
-        return rate, {"budget": 0.0, "reached": goal.tolist(), "steps": 0}
+        return members.withColumn("rate", F.lit(1.0)), {"budget": 0.0, "reached": goal.tolist(), "steps": 0}
+    columns = members.columns
+    rate: Column = F.lit(1.0)
     best, best_gap, reached = rate, math.inf, goal
     for step in range(STEPS):
         sums = [F.sum(rate * n * p[i] / budget) for i in range(k)]
@@ -133,13 +141,17 @@ def rates(members: DataFrame, targets: list[float]) -> tuple[Column, dict]:
         a = a + a.T - np.diag(np.diag(a))
         move = np.linalg.solve(a + RIDGE * np.trace(a) / k * np.eye(k), gap)
         rate = F.greatest(F.lit(0.0), rate - sum((F.lit(float(m)) * x for m, x in zip(move, p, strict=True)), F.lit(0.0)))
-    return best, {"budget": budget, "reached": reached.tolist(), "steps": step}
+        if step % KEPT == KEPT - 1:  # else each step makes the expression longer
+            members = materialise(members.select(*columns, rate.alias("_rate"), best.alias("_best")))
+            rate, best = F.col("_rate"), F.col("_best")
+    return members.select(*columns, best.alias("rate")), {"budget": budget, "reached": reached.tolist(), "steps": step}
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[int, float], key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """_row, key, n_tokens, p, rate of every document. A domain without a target gets none."""
+    """_row (file and row of a table from stable()), _key, n_tokens, p, rate of every document. A
+    domain without a target gets none."""
+    docs = stable(docs)
     model = fit(docs, labels, key, text, label)
     members = materialise(posteriors(docs, model, key, text))
     goal = [float(targets.get(d, 0.0)) for d in model.domains] if model else [1.0]
-    rate, _ = rates(members, goal if sum(goal) > 0 else [1.0] * len(goal))
-    return members.select("*", rate.alias("rate"))
+    return rates(members, goal if sum(goal) > 0 else [1.0] * len(goal))[0]

@@ -21,11 +21,16 @@ That joins large groups cheaply, but a forest may drop a true link for ones that
 nearer. So an exact join follows: sets of the stated similarity share a shingle among the
 first n - ceil(SIMILARITY n) + 1 of each, in any order of all shingles. Points that share one,
 are not yet in one component and pass the bounds of size and position are verified too, all
-of them. Documents with the same set are one point throughout, so groups of copies cost one
-row. Classes are the components of all links of the stated similarity.
+of them but those whose sketches differ in more than FAR bits (two sets of the similarity and
+of LARGE shingles or more do so once in 10^15 pairs; smaller ones are all verified). Documents
+with the same set are one point throughout, so groups of copies cost one row; one document of
+each point is read for its shingles. Shingles and sets are known by 64-bit hashes, and sets are
+compared by 48 bits of each. Classes are the components of all links of the similarity.
 
 Nulls: a null text, as any text without words, has the empty set, and such texts are one
-class. The keeper of a class is its smallest id (null ids last), then its first row.
+class. The keeper of a class is its smallest id (null ids last), then its first row, by file
+and place in the file; a row's place is the same however a scan is split. Repeated rows are
+copies. An empty table gives an empty one. Columns may have any names.
 """
 
 from __future__ import annotations
@@ -38,13 +43,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_bytes, bit_filter, materialise, rows_of, spaced, stable
+from .common import arrow_map, as_bytes, bit_filter, discard, materialise, pack, place, rows_of, spaced, stable, unpack
 from .simhash import components, trie_pairs
 
 TABLES = 16
 WORD_BITS = 24
 ERRORS = 2
 NEAR = 78
+FAR = 128
+LARGE = 64
 CELL_ROWS = 20_000
 COMMON = 200_000  # shingles known as common: those of COMMON_ROWS texts of a sample of 1 in COMMON_SHARE
 COMMON_ROWS = 3
@@ -242,10 +249,9 @@ def candidate_links(points: DataFrame, similarity: float) -> DataFrame:
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """_row, _pid, root, keeper (none, id, row) for every document: its row by
-    monotonically_increasing_id, its point, its class and whom the class keeps."""
-    docs = stable(docs)
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), docs[key].alias("_key"), docs[text].alias("_t"))
+    """docs: a table from stable(). row (file and place), root (the class), keeper (none, id, row:
+    whom the class keeps) for every document."""
+    rows = docs.select(place().alias("row"), docs[key].alias("key"), docs[text].alias("t"))
 
     def work(got: dict) -> dict:
         out: dict[str, list] = {"pid": [], "n": [], "sketch": []}
@@ -256,25 +262,42 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
             out["sketch"].append(sketch(h))
         return out
 
-    marked = materialise(arrow_map(rows, {"t": F.col("_t")}, ["_row", "_key"], {"pid": "long", "n": "int", "sketch": "binary"}, work))
-    keeper = F.min(F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("id"), F.col("_row").alias("row"))).alias("keeper")
+    marked = materialise(arrow_map(rows, {"t": F.col("t")}, ["row", "key"], {"pid": "long", "n": "int", "sketch": "binary"}, work))
+    keeper = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("id"), "row")).alias("keeper")
     points = materialise(marked.groupBy("pid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), keeper))
+    texts = rows.select("row", "t")
     links = candidate_links(points.where("n > 0").select("pid", "n", "sketch"), similarity)
-    verified = materialise(_verified(rows, links, size, similarity))
+    verified = _verified(texts, points, links, size, similarity)
     of = materialise(_rooted(points, verified))
-    missed = materialise(open_pairs(rows, of.where("n > 0"), size, similarity))
+    pairs = materialise(open_pairs(texts, of.where("n > 0"), size, similarity))
+    missed = materialise(_not_far(pairs, points))
     if not missed.isEmpty():
-        verified = materialise(verified.unionByName(_verified(rows, missed, size, similarity)))
-        of = _rooted(points, verified)
+        verified = materialise(verified.unionByName(_verified(texts, points, missed, size, similarity)))
+        of = materialise(_rooted(points, verified))
     best = of.groupBy("root").agg(F.min("keeper").alias("keeper"))
-    found = of.select("pid", "root").join(best, "root")
-    return marked.select("_row", F.col("pid").alias("_pid")).join(found, F.col("_pid") == F.col("pid")).select("_row", "_pid", "root", "keeper")
+    found = of.select("pid", "root").join(best, "root").withColumnRenamed("pid", "point")
+    out = materialise(marked.select("row", "pid").join(found, F.col("pid") == F.col("point")).select("row", "root", "keeper"))
+    discard(marked, points, links, pairs, missed)
+    return out
 
 
 def _rooted(points: DataFrame, links: DataFrame) -> DataFrame:
     return points.join(components(links), points.pid == F.col("node"), "left").select("pid", "n", "keeper", F.coalesce("root", "pid").alias("root"))
 
 
+def _not_far(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """Pairs a, b whose sketches differ in FAR bits at most, or of which one set is small."""
+    end = lambda c: points.select(F.col("pid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    both = pairs.join(end("a"), "a").join(end("b"), "b")
+
+    def work(got: dict) -> dict:
+        x, y = (np.frombuffer(b"".join(as_bytes(got[c])), np.uint64).reshape(len(got[c]), -1) for c in ("sa", "sb"))
+        small = np.minimum(got["na"].to_numpy(), got["nb"].to_numpy()) < LARGE
+        return {"near": pa.array(small | (np.bitwise_count(x ^ y).sum(1) <= FAR))}
+
+    return arrow_map(both, {c: F.col(c) for c in ("sa", "sb", "na", "nb")}, ["a", "b"], {"near": "boolean"}, work).where("near").select("a", "b")
+
+
 def _common(rows: DataFrame, size: int) -> np.ndarray:
     """Sorted hashes of shingles that many texts of a sample hold, rarest first; at most
     COMMON. Which ones they are decides the order of shingles, not what is found."""
@@ -284,8 +307,8 @@ def _common(rows: DataFrame, size: int) -> np.ndarray:
             hs = [shingles(t, size) for t in as_bytes(batch.column(0))]
             yield {"h": pa.array(np.concatenate([np.zeros(0, np.uint64), *hs]).view(np.int64))}
 
-    some = rows.where(F.pmod(F.xxhash64("_t"), F.lit(COMMON_SHARE)) == 0)
-    held = rows_of(some, [F.col("_t")], "h long", work).groupBy("h").count().where(F.col("count") >= COMMON_ROWS)
+    some = rows.where(F.pmod(F.xxhash64("t"), F.lit(COMMON_SHARE)) == 0)
+    held = rows_of(some, [F.col("t")], "h long", work).groupBy("h").count().where(F.col("count") >= COMMON_ROWS)
     got = held.orderBy(F.desc("count"), "h").limit(COMMON).select("h").toArrow()
     return got.column("h").to_numpy()[::-1].copy()
 
@@ -309,8 +332,8 @@ def open_pairs(rows: DataFrame, of: DataFrame, size: int, similarity: float) ->
             out.append(h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1])
         return {"hs": out}
 
-    starts = arrow_map(rows, {"t": F.col("_t")}, ["_row"], {"hs": "array<long>"}, prefix)
-    named = starts.join(of.select("pid", "n", "root", F.col("keeper.row").alias("_at")), F.col("_row") == F.col("_at"))
+    starts = arrow_map(rows, {"t": F.col("t")}, ["row"], {"hs": "array<long>"}, prefix)
+    named = starts.join(of.select("pid", "n", "root", F.col("keeper.row").alias("at")), F.col("row") == F.col("at"))
     # most points are their own roots, which a null says in fewer bytes
     flat = named.select("pid", F.when(F.col("root") != F.col("pid"), F.col("root")).alias("root"), "n", F.posexplode("hs").alias("pos", "h"))
     spread = flat.repartition("h").sortWithinPartitions("h")
@@ -377,32 +400,49 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _verified(rows: DataFrame, links: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Links whose whole shingle sets are similar enough."""
+def _verified(texts: DataFrame, points: DataFrame, links: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links whose whole shingle sets are similar enough. texts: row, t. Of each point one text
+    is read, and the sets of both ends of a link meet: one is sent once, one with each link."""
     ends = links.select(F.explode(F.array("a", "b")).alias("pid")).distinct()
+    reps = materialise(points.select("pid", F.col("keeper.row").alias("at")).join(ends, "pid"))
+    # a bit for each row spares most texts the shuffle
+    flag = F.coalesce(bit_filter(reps.select("at"))(F.col("row")), F.lit(False))
+    own = texts.where(flag).join(reps.hint("shuffle_hash"), F.col("row") == F.col("at")).select("pid", "t")
 
     def work(got: dict) -> dict:
-        out: dict[str, list] = {"pid": [], "h": []}
-        for t in as_bytes(got["t"]):
-            h = shingles(t, size)
-            out["pid"].append(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).astype(np.int64))
-            out["h"].append(h.view(np.int64))
-        return out
+        return {"h": [shingles(t, size).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for t in as_bytes(got["t"])]}
+
+    sets = materialise(arrow_map(own, {"t": F.col("t")}, ["pid"], {"h": "binary"}, work))
+    pairs = links.join(sets.select(F.col("pid").alias("b"), F.col("h").alias("hb")), "b").join(sets.select(F.col("pid").alias("a"), F.col("h").alias("ha")), "a")
+
+    def compare(got: dict) -> dict:
+        out = []
+        for x, y in zip(as_bytes(got["ha"]), as_bytes(got["hb"]), strict=True):
+            n = (len(x) + len(y)) // 6
+            both = n - len(np.unique(_numbers(x + y)))
+            out.append(both >= similarity * (n - both) - 1e-9)
+        return {"near": out}
+
+    found = materialise(arrow_map(pairs, {"ha": F.col("ha"), "hb": F.col("hb")}, ["a", "b"], {"near": "boolean"}, compare).where("near").select("a", "b"))
+    discard(sets, reps)
+    return found
+
 
-    sets = arrow_map(rows, {"t": F.col("_t")}, [], {"pid": "long", "h": "array<long>"}, work).join(ends, "pid", "left_semi")
-    sets = materialise(sets.groupBy("pid").agg(F.first("h").alias("h")))
-    pairs = links.join(sets.select(F.col("pid").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("pid").alias("b"), F.col("h").alias("hb")), "b")
-    both = F.size(F.array_intersect("ha", "hb"))
-    return pairs.where(both >= similarity * (F.size("ha") + F.size("hb") - both)).select("a", "b")
+def _numbers(raw: bytes) -> np.ndarray:
+    """Numbers of six bytes each."""
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents that their classes keep, with their columns."""
     docs = stable(docs)
     found = classes(docs, key, text, size, similarity)
-    gone = materialise(found.where(F.col("_row") != F.col("keeper.row")).select(F.col("_row").alias("_gone")))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), F.monotonically_increasing_id().alias("_row"))
+    gone = materialise(found.where(F.col("row") != F.col("keeper.row")).select(F.col("row").alias("gone")))
+    discard(found)
+    rows = pack(docs, docs.columns, row=place())
     # a row whose bit is not set stays surely, without a shuffle of its text
-    flag = F.coalesce(bit_filter(gone)(F.col("_row")), F.lit(False))
-    left = rows.where(flag).join(gone.hint("shuffle_hash"), F.col("_row") == F.col("_gone"), "left_anti").unionByName(rows.where(~flag))
-    return left.select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
+    flag = F.coalesce(bit_filter(gone)(F.col("row")), F.lit(False))
+    left = rows.where(flag).join(gone.hint("shuffle_hash"), F.col("row") == F.col("gone"), "left_anti").unionByName(rows.where(~flag))
+    return unpack(left, docs.columns)

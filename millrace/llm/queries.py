@@ -39,7 +39,7 @@ def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = topk.quantised(table(spark, sf_dir, "embeddings"))
-    return topk.top_k(rows, rows.where(F.col("id") % 20 == 0), 20).withColumnRenamed("id", "vec_id")
+    return topk.top_k(rows, F.col("id") % 20 == 0, 20).withColumnRenamed("id", "vec_id")
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

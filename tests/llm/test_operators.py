@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate as dc
-from millrace.llm import line_dedup, mixing, near_dedup, oracles, pii, queries, secrets, simhash, topk, toxicity
+from millrace.llm import line_dedup, mixing, near_dedup, oracles, pii, queries, secrets, simhash, toxicity
 
 from . import brute
 
@@ -160,8 +160,8 @@ def exact_classes(spark, texts):
     links = [(i, j) for i in ids for j in ids if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     docs = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(4)
     docs = near_dedup.stable(docs)
-    key_of = {r["_row"]: r["doc_id"] for r in docs.select("doc_id", F.monotonically_increasing_id().alias("_row")).collect()}
-    got = {key_of[r["_row"]]: r["keeper"]["id"] for r in near_dedup.classes(docs).collect()}
+    key_of = {r["row"]: r["doc_id"] for r in docs.select("doc_id", near_dedup.place().alias("row")).collect()}
+    got = {key_of[r["row"]]: r["keeper"]["id"] for r in near_dedup.classes(docs).collect()}
     return got, brute.components(ids, links)
 
 
@@ -244,42 +244,6 @@ def test_line_dedup(spark, odd, none):
     assert line_dedup.remove_boilerplate(none).count() == 0
 
 
-def test_top_k(spark):
-    rows = [(i, [float((i * 7 + j * 3) % 5 - 2) / 3 for j in range(6)], 0) for i in range(90)] + [(200, None, 0), (201, [1.0, None], 0), (202, [float("nan")] * 6, 0), (220, [], 0), (240, [0.5], 0), (None, [1.0], 0)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
-    q = {i: [math.floor(64 * float(np.float32(x))) for x in v] for i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    data = topk.quantised(frame)
-    got = {}
-    for r in topk.top_k(data, data.where("id % 20 = 0"), 20).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
-    for i in q:
-        if i % 20 == 0:
-            best = sorted((-sum(a * b for a, b in zip(q[i], v, strict=False)), k) for k, v in q.items() if k != i)[:20]
-            assert sorted(got[i]) == [(n + 1, k, -s) for n, (s, k) in enumerate(best)]
-    assert set(got) == {i for i in q if i % 20 == 0}
-    assert topk.top_k(data.limit(0), data.limit(0)).count() == 0
-
-
-def test_top_k_over_many_tiles(spark, monkeypatch):
-    """Many shards and query sets, in many partitions: every query still meets every row."""
-    for name, size in (("BLOCK_ROWS", 8), ("SHARD_BLOCKS", 2), ("QUERY_ROWS", 3)):
-        monkeypatch.setattr(topk, name, size)
-    rng = np.random.default_rng(6)
-    x = rng.integers(-40, 40, (400, 8))
-    x[50:120] = x[50]  # a group of copies: ties go to the smaller id
-    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<long>").repartition(7)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in topk.top_k(rows, rows.where("id % 20 = 0"), 20).collect()}
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    want = {}
-    for q in range(0, 400, 20):
-        best = sorted((-int(x[q] @ x[i]), i) for i in range(400) if i != q)[:20]
-        want |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(best)}
-    assert got == want
-
-
 def test_toxicity(spark, small, odd, none):
     rng = random.Random(2)
     bad, rows, labels = ["scumbag", "vermin", "filth"], [], []
