@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate as dc
 from millrace.llm import line_dedup, mixing, near_dedup, toxicity
-from millrace.llm.common import materialise, stable, table
+from millrace.llm.common import materialise, pack, place, stable, table, unpack
 from millrace.llm.queries import MIX
 
 #: Toxic from this score on.
@@ -49,21 +49,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    keys = {c: F.col(c) for c in docs.columns}
-    doc = _fresh(docs, "doc")
-    packed = docs.select(F.struct(*[v.alias(k) for k, v in keys.items()]).alias(doc), F.col("text").alias("_text"))
-    found = dc.decontaminate(packed, table(spark, sf_dir, "benchmark"), text="_text", keep=[doc])
-    return found.where(F.size("spans") == 0).select(*[F.col(doc)[c].alias(c) for c in docs.columns])
+    found = dc.decontaminate(pack(docs, docs.columns, text=docs["text"]), table(spark, sf_dir, "benchmark"), keep=["_doc"])
+    return unpack(found.where(F.size("spans") == 0), docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the rate at which each is to be read; those of rate 0 go."""
     docs = stable(docs)
     found = mixing.mix(docs, table(spark, sf_dir, "labels"), MIX)
-    rates = found.select(F.col("_row").alias("_at"), "rate")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), F.monotonically_increasing_id().alias("_row"))
+    rates = found.select(F.col("_row").alias("at"), "rate")
+    rows = pack(docs, docs.columns, row=place())
     name = _fresh(docs, "rate")
-    return rows.join(rates.hint("shuffle_hash"), F.col("_row") == F.col("_at")).where(F.col("rate") > 0).select(*[F.col("_doc")[c].alias(c) for c in docs.columns], F.col("rate").alias(name))
+    return unpack(rows.join(rates.hint("shuffle_hash"), F.col("row") == F.col("at")).where(F.col("rate") > 0), docs.columns, **{name: F.col("rate")})
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_boilerplate), ("simhash", drop_near_copies), ("decontaminate", drop_contaminated), ("mixing", mix)]
