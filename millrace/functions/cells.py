@@ -69,7 +69,7 @@ def half_up(x: Column, places: int | Column) -> Column:
     """Rounded to so many places, halves towards plus infinity."""
     f = F.pow(F.lit(10.0), places if isinstance(places, Column) else F.lit(float(places)))
     y = x * f
-    return F.when(F.abs(y) < 2.0**52, F.floor(y + 0.5).cast("double") / f).otherwise(x)
+    return F.when(~F.isnan(y) & (F.abs(y) < 2.0**52), F.floor(y + 0.5).cast("double") / f).otherwise(x)
 
 
 def half_away(x: Column, places: int) -> Column:
@@ -118,6 +118,16 @@ def normalize_date(c: Column) -> Column:
     )
 
 
+_DAY, _MONTH = "(?:0?[1-9]|[12][0-9]|3[01])", "(?:0?[1-9]|1[0-2])"
+_NAMED = "(?i:" + "|".join(MONTHS) + r")[A-Za-z]*\.?"
+IS_DATE = rf"^(?:[0-9]{{4}}[-/.]{_MONTH}[-/.]{_DAY}|(?:{_DAY}[-/.]{_MONTH}|{_MONTH}[-/.]{_DAY})[-/.][0-9]{{4}}|{_DAY} +{_NAMED} +[0-9]{{4}}|{_NAMED} +{_DAY},? +[0-9]{{4}})$"
+
+
+def is_date(c: Column) -> Column:
+    """Whether normalize_date gives a date, by one pattern: for counting over whole tables."""
+    return F.regexp_replace(strip(c), r"[\t ]", " ").rlike(IS_DATE)
+
+
 # -- phones and names ---------------------------------------------------------------------------
 
 

@@ -2,8 +2,8 @@
 
 Lexer and precedence-climbing parser give an AST; the compiler types each node as text,
 number, truth or null and renders to text where branches differ, so a formula is part of
-the projection that Catalyst sees. Numbers that are none are null inside; only comparisons,
-arithmetic by zero and text made of them need to know.
+the projection that Catalyst sees. What is no number is NaN as soon as arithmetic reads it,
+and stays so: NaN is no blank, it is true, prints as NaN, and no comparison with it holds.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import cells
-from .patterns import groups, java_pattern, java_replacement
+from .patterns import groups, java_pattern, java_replacement, replace_by_column
 
 
 class FormulaError(ValueError):
@@ -153,8 +153,17 @@ class Typed:
         return cells.text(self.col, {TEXT: "string", NUMBER: "double", TRUTH: "boolean"}[self.type])
 
     def n(self) -> Column:
-        """As a number or null."""
-        return self.col if self.type == NUMBER else cells.number(self.col, "string") if self.type == TEXT else F.lit(None).cast("double")
+        """As a number; NaN if it is none."""
+        if self.type not in (NUMBER, TEXT):
+            return F.lit(float("nan"))
+        if isinstance(self.literal, float):
+            return self.col
+        return F.coalesce(self.col if self.type == NUMBER else cells.number(self.col, "string"), F.lit(float("nan")))
+
+    def whole(self) -> Column:
+        """As a whole number, cut towards zero; 0 if it is no number."""
+        n = self.n()
+        return F.when(F.isnan(n), 0).otherwise(F.greatest(F.least(n, F.lit(1e9)), F.lit(-1e9))).cast("int")
 
     def truthy(self) -> Column:
         if self.type == NULL:
@@ -191,16 +200,16 @@ def _split(s: Column, d: Typed) -> Column:
 
 
 def _substr(a: list[Typed]) -> Column:
-    s, i = a[0].s(), F.coalesce(F.floor(a[1].n()), F.lit(0))
-    start = F.when(i < 0, F.greatest(F.length(s) + i, F.lit(0))).otherwise(i).cast("int") + 1
-    n = F.length(s) if len(a) < 3 else F.greatest(F.coalesce(F.floor(a[2].n()), F.lit(0)), F.lit(0)).cast("int")
+    s, i = a[0].s(), a[1].whole()
+    start = F.when(i < 0, F.greatest(F.length(s) + i, F.lit(0))).otherwise(i) + 1
+    n = F.length(s) if len(a) < 3 else F.greatest(a[2].whole(), F.lit(0))
     return F.substring(s, start, n)
 
 
 def _regex_replace(a: list[Typed]) -> Column:
     pattern, put = a[1].literal, a[2].literal
     if not isinstance(pattern, str) or not isinstance(put, str):
-        raise FormulaError("regexReplace takes its pattern and replacement as literals")
+        return replace_by_column(*[x.s() for x in a])  # patterns that differ from row to row
     java = java_pattern(pattern)
     return a[0].s() if java is None else F.regexp_replace(a[0].s(), java, java_replacement(put, groups(java)))
 
@@ -215,12 +224,18 @@ def _coalesce(a: list[Typed]) -> Typed:
 
 
 def _round(a: list[Typed]) -> Typed:
-    places = F.lit(0.0) if len(a) < 2 else F.coalesce(a[1].n(), F.lit(0.0))
-    return Typed(NUMBER, cells.half_up(a[0].n(), places))
+    if len(a) < 2:
+        return Typed(NUMBER, cells.half_up(a[0].n(), 0))
+    return Typed(NUMBER, F.when(F.isnan(a[1].n()), float("nan")).otherwise(cells.half_up(a[0].n(), a[1].whole().cast("double"))))
+
+
+def _finite(a: list[Typed]) -> Typed:
+    n = a[0].n()
+    return Typed(NUMBER, F.when(~F.isnan(n) & (F.abs(n) < float("inf")), n))
 
 
 def _part(a: list[Typed]) -> Column:
-    return F.coalesce(F.get(_split(a[0].s(), a[1]), F.coalesce(a[2].n(), F.lit(0.0)).cast("int")), F.lit(""))
+    return F.coalesce(F.get(_split(a[0].s(), a[1]), F.when(~F.isnan(a[2].n()), a[2].whole())), F.lit(""))
 
 
 _t = lambda f: lambda a: Typed(TEXT, f(a))
@@ -241,7 +256,7 @@ FUNCTIONS: dict[str, tuple[int, int, Callable[[list[Typed]], Typed]]] = {
     "startsWith": (2, 2, _b(lambda a: F.startswith(a[0].s(), a[1].s()))),
     "endsWith": (2, 2, _b(lambda a: F.endswith(a[0].s(), a[1].s()))),
     "coalesce": (1, 99, _coalesce),
-    "number": (1, 1, lambda a: Typed(NUMBER, a[0].n())),
+    "number": (1, 1, _finite),
     "str": (1, 1, _t(lambda a: a[0].s())),
     "round": (1, 2, _round),
     "abs": (1, 1, lambda a: Typed(NUMBER, F.abs(a[0].n()))),
@@ -251,8 +266,8 @@ FUNCTIONS: dict[str, tuple[int, int, Callable[[list[Typed]], Typed]]] = {
 
 
 def _divide(a: Column, b: Column) -> Column:
-    inf = F.lit(float("inf"))
-    return F.when(b != 0, a / F.nullif(b, F.lit(0.0))).when(b == 0, F.when(a > 0, inf).when(a < 0, -inf))
+    inf, nan = F.lit(float("inf")), F.lit(float("nan"))
+    return F.when(F.isnan(a), nan).when(b != 0, a / F.nullif(b, F.lit(0.0))).when(a > 0, inf).when(a < 0, -inf).otherwise(nan)
 
 
 def compile_node(node: Node, column: Callable[[str], Typed | None], value: Typed) -> Typed:
@@ -283,13 +298,13 @@ def compile_node(node: Node, column: Callable[[str], Typed | None], value: Typed
     if op == "/":
         return Typed(NUMBER, _divide(x.n(), y.n()))
     if op == "%":
-        return Typed(NUMBER, F.when(y.n() != 0, x.n() % F.nullif(y.n(), F.lit(0.0))))
+        return Typed(NUMBER, F.when(y.n() != 0, x.n() % F.nullif(y.n(), F.lit(0.0))).otherwise(float("nan")))
     if op in ("==", "!="):
         return Typed(TRUTH, x.s() == y.s() if op == "==" else x.s() != y.s())
     if op in ("&&", "||"):
         return _join([x, y], lambda c: F.when(x.truthy(), c[1] if op == "&&" else c[0]).otherwise(c[0] if op == "&&" else c[1]))
     less = {"<": x.n() < y.n(), "<=": x.n() <= y.n(), ">": x.n() > y.n(), ">=": x.n() >= y.n()}[str(op)]
-    return Typed(TRUTH, F.coalesce(less, F.lit(False)))
+    return Typed(TRUTH, ~F.isnan(x.n()) & ~F.isnan(y.n()) & less)
 
 
 def compile_formula(source: str, column: Callable[[str], Typed | None], value: Typed | None = None) -> Typed:

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _valid(pattern: str) -> int | None:
@@ -51,3 +55,30 @@ def java_replacement(put: str, known: int = 9) -> str:
 
 def _literal(text: str) -> str:
     return re.sub(r"([\\$])", r"\\\1", text)
+
+
+@lru_cache(maxsize=256)
+def _compiled(pattern: str) -> re.Pattern | None:
+    """As recipes write it; None if it can't be read."""
+    try:
+        return re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", pattern), re.ASCII)
+    except re.error:
+        return None
+
+
+def replaced(text: str, pattern: str, put: str) -> str:
+    """All matches replaced; a pattern that can't be read changes nothing."""
+    found = _compiled(pattern)
+    if found is None:
+        return text
+
+    def expand(m: re.Match) -> str:
+        one = lambda d: "$" if d[1] == "$" else m[0] if d[1] == "&" else m[int(d[1])] or "" if int(d[1]) <= found.groups else d[0]
+        return re.sub(r"\$(\$|&|[1-9])", one, put)
+
+    return found.sub(expand, text)
+
+
+@F.pandas_udf(T.StringType())
+def replace_by_column(texts: pd.Series, patterns: pd.Series, puts: pd.Series) -> pd.Series:
+    return pd.Series([replaced(t, p, r) for t, p, r in zip(texts, patterns, puts, strict=True)], dtype=object)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import cells
 from ..plans.recipe import Op
 from ..plans.table import RID, ColumnMeta, Table
+from .ranks import median_of
 from .steps import row_key
 
 BINS = 14
@@ -24,7 +25,7 @@ BINS = 14
 def _type_counts(t: Table, m: ColumnMeta) -> dict[str, Column]:
     c = F.nullif(t.render(m), F.lit(""))
     s = cells.strip(c)
-    hits = {"n": c.isNotNull(), "int": cells.is_integer(s), "dec": cells.is_decimal(s), "bool": cells.is_boolean(s), "date": cells.normalize_date(c).isNotNull()}
+    hits = {"n": c.isNotNull(), "int": cells.is_integer(s), "dec": cells.is_decimal(s), "bool": cells.is_boolean(s), "date": cells.is_date(c)}
     return {k: F.count_if(F.coalesce(x, F.lit(False))).alias(f"{m.id}_{k}") for k, x in hits.items()}
 
 
@@ -77,7 +78,8 @@ def profile_frame(t: Table, m: ColumnMeta) -> DataFrame:
     base = [F.count("*").alias("total"), F.count_if(full).alias("filled"), F.count_if(~full).alias("blank"), F.count_distinct(F.when(full, cell)).alias("distinct")]
     if m.logical in (cells.INTEGER, cells.DECIMAL):
         n = F.when(full, t.number(m))
-        more = [F.min(n).alias("min"), F.max(n).alias("max"), F.avg(n).alias("mean"), F.percentile(n, 0.5).alias("median"), F.sum(n).alias("sum"), F.stddev_pop(n).alias("std")]
+        median = median_of(t.df.select(n.alias("x")))
+        more = [F.min(n).alias("min"), F.max(n).alias("max"), F.avg(n).alias("mean"), F.lit(median).cast("double").alias("median"), F.sum(n).alias("sum"), F.stddev_pop(n).alias("std")]
     elif m.logical == cells.DATE:
         d = F.when(full, F.coalesce(cells.normalize_date(cell), cell))
         more = [F.min(d).alias("min"), F.max(d).alias("max")]
@@ -187,7 +189,7 @@ def suggestions(t: Table) -> list[Op]:
     for m, b in zip(t.metas, blank, strict=True):
         c = t.render(m)
         iso = c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
-        checks += [F.count_if(stray_space(t, m)).alias(f"{m.id}_stray"), F.count_if(~b).alias(f"{m.id}_n"), F.count_if(~b & cells.normalize_date(c).isNotNull()).alias(f"{m.id}_date"), F.count_if(~b & ~F.coalesce(iso, F.lit(False))).alias(f"{m.id}_odd")]
+        checks += [F.count_if(stray_space(t, m)).alias(f"{m.id}_stray"), F.count_if(~b).alias(f"{m.id}_n"), F.count_if(~b & F.coalesce(cells.is_date(c), F.lit(False))).alias(f"{m.id}_date"), F.count_if(~b & ~F.coalesce(iso, F.lit(False))).alias(f"{m.id}_odd")]
     r = t.df.agg(*checks).first()
     if not r["rows"]:
         return []

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells
 from ..plans.table import RID, ColumnMeta, Table
+from .ranks import median_of
 
 #: Rows of a stretch that is filled by one window; what crosses stretches is carried by a
 #: small table with one row a stretch.
@@ -48,7 +49,7 @@ def fill(t: Table, m: ColumnMeta, strategy: str, constant=None) -> Table:
         return t.map({m.id: F.when(blank, F.lit(constant).cast(t.kind(m))).otherwise(cell)})
     if strategy in ("mean", "median"):
         n = t.number(m)
-        found = t.df.agg((F.avg(n) if strategy == "mean" else F.percentile(n, 0.5)).alias("x")).first()["x"]
+        found = t.df.agg(F.avg(n)).first()[0] if strategy == "mean" else median_of(t.df.select(n.alias("x")))
         if found is None:
             return t
         value = cells.half_up(F.lit(float(found)), 6) if strategy == "mean" else F.lit(float(found))

@@ -1,21 +1,26 @@
 """Edit distance, Jaro-Winkler, key collisions, clusters and fuzzy de-duplication.
 
 Built-in functions do edit distance and n-gram keys; Jaro-Winkler and Unicode decomposition
-are Arrow functions. Pairwise work is dealt out in tiles of bounded size; the greedy, order-
-dependent rules then run on each connected group of similar values, which is where they
-can act, so no block of the data goes to one task as a whole.
+are Arrow functions. Pairwise work is dealt out in tiles of bounded size, and only values whose
+lengths and letters leave room for the threshold are compared; the greedy, order-dependent
+rules then run on each connected group of similar values, which is where they can act, so no
+block of the data goes to one task as a whole.
 """
 
 from __future__ import annotations
 
+import heapq
 import unicodedata
+
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import cells
+from ..plans.scratch import materialise
 from ..plans.table import RID, Table
 
 TILE = 512
@@ -114,60 +119,89 @@ def key_clusters(values: DataFrame, method: str = "fingerprint") -> DataFrame:
 
 
 def similar_pairs(items: DataFrame, threshold: float, block: str | None = None) -> DataFrame:
-    """items: id, s and the block column. a < b of one block whose similarity reaches the
-    threshold. Each block is cut into chunks of TILE items, and each pair of chunks is a
-    tile, one group of bounded size."""
-    b = F.lit("") if block is None else F.col(block)
-    place = items.select("id", "s", b.alias("b")).withColumn("chunk", (F.row_number().over(Window.partitionBy("b").orderBy("id")) - 1) / TILE).withColumn("chunk", F.floor("chunk").cast("int"))
-    most = place.groupBy("b").agg(F.max("chunk").alias("top"))
-    spread = place.join(most, "b").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("top")))).select("b", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "s")
+    """items: id, s (distinct) and the block column. a < b of one block whose similarity reaches
+    the threshold. The items of a block and length are dealt out into chunks of some TILE items,
+    and a chunk meets those whose length leaves room for the threshold: each such pair of chunks
+    is a tile, one group of bounded size. In a tile, pairs whose letters can't reach the
+    threshold are passed over before any is compared."""
+    place = items.select("id", "s", (F.lit("") if block is None else F.col(block)).alias("b"), F.length("s").alias("n"))
+    sizes = materialise(place.groupBy("b", "n").agg(F.ceil(F.count("*") / TILE).cast("int").alias("chunks")))  # a row for each length of a block
+    own = place.join(sizes, ["b", "n"]).select("b", "n", "id", "s", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"))
+    other = sizes.select(F.col("b").alias("ob"), F.col("n").alias("on"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("oc"))
+    small, large = F.least("n", "on"), F.greatest("n", "on")
+    most = F.when(large == 0, 1.0).otherwise((2 + small / large) / 3)
+    met = own.join(other, (F.col("b") == F.col("ob")) & (most + 0.4 * (1 - most) >= threshold - 1e-9))
+    mine, theirs = F.struct("n", "chunk"), F.struct(F.col("on").alias("n"), F.col("oc").alias("chunk"))
+    spread = met.select("b", F.least(mine, theirs).alias("i"), F.greatest(mine, theirs).alias("j"), (mine == theirs).alias("same"), (mine <= theirs).alias("left"), "id", "s")
 
     def tile(key, table):
-        table, i, j = table.sort_by("id"), key[1].as_py(), key[2].as_py()
-        every = list(zip(table.column("chunk").to_pylist(), table.column("id").to_pylist(), table.column("s").to_pylist(), strict=True))
-        left = [x for x in every if x[0] == i]
-        right = left if i == j else [x for x in every if x[0] == j]
+        ids, texts = table.column("id").to_numpy(), table.column("s").to_pylist()
+        counts, lengths = _letters(texts), np.array([len(x) for x in texts])
+        same, left = table.column("same").to_numpy(zero_copy_only=False), table.column("left").to_numpy(zero_copy_only=False)
+        one = bool(same[0])
+        rows = np.arange(len(texts)) if one else np.flatnonzero(left)
+        others = rows if one else np.flatnonzero(~left)
         out: list[tuple[int, int]] = []
-        for k, (_, x, s) in enumerate(left):
-            for _, y, u in right[k + 1 :] if i == j else right:
-                if most_similar(len(s), len(u)) >= threshold and jaro_winkler_of(s, u) >= threshold:
-                    out.append((min(x, y), max(x, y)))
-        return pa.Table.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+        for k, x in enumerate(rows):
+            rest = others[k + 1 :] if one else others
+            for y in rest[_could_reach(counts[x], lengths[x], counts[rest], lengths[rest], threshold)]:
+                if jaro_winkler_of(texts[x], texts[y]) >= threshold:
+                    out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        return pa.Table.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return spread.groupBy("b", "i", "j").applyInArrow(tile, "a long, b long")
 
 
+def _letters(texts: list[str]) -> np.ndarray:
+    """How often each text has each letter, letters dealt into 64 kinds."""
+    out = np.zeros((len(texts), 64), np.int32)
+    for i, x in enumerate(texts):
+        np.add.at(out[i], np.frombuffer(x.encode("utf-32-le"), np.uint32) & 63, 1)
+    return out
+
+
+def _could_reach(one: np.ndarray, n: int, others: np.ndarray, ns: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether as many matches as the letters allow would reach the threshold."""
+    m = np.minimum(one, others).sum(1)
+    most, least = np.maximum(np.maximum(n, ns), 1), np.maximum(np.minimum(n, ns), 1)
+    jaro = np.where(m > 0, (m / most + m / least + 1) / 3, 0.0)
+    jaro = np.where((n == 0) & (ns == 0), 1.0, np.minimum(jaro, 1.0))
+    return jaro + 0.4 * (1 - jaro) >= threshold - 1e-9
+
+
 def groups_of(pairs: DataFrame) -> DataFrame:
     """id, root for all ids of pairs (a, b): connected groups, by repeated least neighbours."""
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).persist()
+    both = materialise(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     root = both.select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("root"))
     while True:
         near = both.join(root, F.col("b") == F.col("id")).groupBy("a").agg(F.min("root").alias("near"))
         new = root.join(near, root.id == near.a).select("id", F.least("root", "near").alias("root"), (F.col("near") < F.col("root")).alias("moved"))
         # jump to the root's root
         jump = new.select(F.col("id").alias("root"), F.col("root").alias("far"))
-        new = new.join(jump, "root").select("id", F.col("far").alias("root"), (F.col("moved") | (F.col("far") < F.col("root"))).alias("moved"))
-        new = new.checkpoint() if _checkpoints(pairs) else new.persist()
+        new = materialise(new.join(jump, "root").select("id", F.col("far").alias("root"), (F.col("moved") | (F.col("far") < F.col("root"))).alias("moved")))
         if new.where("moved").isEmpty():
-            both.unpersist()
             return new.select("id", "root")
         root = new.select("id", "root")
 
 
-def _checkpoints(df: DataFrame) -> bool:
-    """Whether a checkpoint folder is known; without one (as in tests) lineage is kept."""
-    spark = df.sparkSession
-    return bool(spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined())
-
-
 def nearest_clusters(values: DataFrame, threshold: float = 0.82) -> DataFrame:
     """Greedy leaders: in order of first appearance, an unused value takes all later unused
     values that are similar enough."""
     items = values.select(F.col("first").alias("id"), F.lower("value").alias("s"), "value", "n")
-    pairs = similar_pairs(items, threshold).persist()
-    rooted = groups_of(pairs)
+    leaders = _leaders(items.select("id", "s"), threshold)
+    members = items.join(leaders, "id").select(F.concat(F.lit("nn_"), F.col("leader")).alias("k"), "value", "n", F.col("id").alias("first"))
+    return _cluster_rows(members, "k")
+
+
+def _leaders(items: DataFrame, threshold: float, block: str | None = None) -> DataFrame:
+    """id, leader of each of some items (id, s, a block column) that has a similar one. Items
+    of one text share their similarities, so the first stands for all. The rule runs in each
+    connected group of similar texts."""
+    by = [c for c in ("s", block) if c]
+    firsts = materialise(items.groupBy(*by).agg(F.min("id").alias("id")))
+    pairs = materialise(similar_pairs(firsts, threshold, block))
     near = pairs.groupBy("a").agg(F.collect_list("b").alias("later"))
-    rows = items.join(rooted, "id").join(near, items.id == near.a, "left").select("root", "id", F.coalesce("later", F.array().cast("array<bigint>")).alias("later"))
+    rows = groups_of(pairs).join(near, F.col("id") == F.col("a"), "left").select("root", "id", F.coalesce("later", F.array().cast("array<bigint>")).alias("later"))
 
     def lead(group: pd.DataFrame) -> pd.DataFrame:
         leader: dict[int, int] = {}
@@ -176,11 +210,14 @@ def nearest_clusters(values: DataFrame, threshold: float = 0.82) -> DataFrame:
                 leader[i] = i
                 for j in later:
                     leader.setdefault(j, i)
-        return pd.DataFrame({"id": list(leader), "leader": list(leader.values())})
+        return pd.DataFrame({"one": list(leader), "leader": list(leader.values())})
 
-    leaders = rows.groupBy("root").applyInPandas(lead, "id long, leader long")
-    members = items.join(leaders, "id").select(F.concat(F.lit("nn_"), F.col("leader")).alias("k"), "value", "n", F.col("id").alias("first"))
-    return _cluster_rows(members, "k")
+    led = firsts.join(rows.groupBy("root").applyInPandas(lead, "one long, leader long"), F.col("id") == F.col("one"), "left")
+    to = led.select(*[F.col(c).alias(f"_{c}") for c in by], F.coalesce("leader", "id").alias("leader"))
+    match = F.lit(True)
+    for c in by:
+        match = match & (F.col(c) == F.col(f"_{c}"))
+    return items.join(to, match).select("id", "leader")
 
 
 def clusters(t: Table, column: str, method: str = "fingerprint", threshold: float = 0.82) -> DataFrame:
@@ -205,28 +242,59 @@ def fuzzy_key(t: Table, columns) -> Column:
 def fuzzy_dedupe(t: Table, columns, threshold: float, survivorship: str = "first") -> Table:
     """Rows whose keys are similar enough, within blocks of the key's first character, lose
     all but one: the first, the longest key or the row with fewest blanks. Greedy in row
-    order, as stated; rows with empty keys are never compared."""
-    blanks = sum((t.blank(m).cast("int") for m in t.metas), F.lit(0))
-    keyed = t.df.select(F.col(RID).alias("id"), fuzzy_key(t, columns).alias("s"), blanks.alias("blanks")).where("s <> ''").persist()
-    pairs = similar_pairs(keyed.withColumn("block", F.substring("s", 1, 1)), threshold, "block").persist()
-    rooted = groups_of(pairs)
-    near = pairs.groupBy("a").agg(F.collect_list("b").alias("later"))
-    rows = keyed.join(rooted, "id").join(near, keyed.id == near.a, "left").select("root", "id", F.length("s").alias("size"), "blanks", F.coalesce("later", F.array().cast("array<bigint>")).alias("later"))
+    order, as stated; rows with empty keys are never compared. Keys are compared once each,
+    however many rows have them; for "first" no group's rows are gathered either, for the
+    others a connected group of similar keys is settled in one task, from three numbers a row."""
+    if threshold > 1:
+        return t  # nothing is so similar
+    keyed = t.df.select(F.col(RID).alias("id"), fuzzy_key(t, columns).alias("s"), _blanks(t).alias("blanks")).where("s <> ''").withColumn("block", F.substring("s", 1, 1))
+    if survivorship not in ("longest", "mostComplete"):
+        led = _leaders(keyed.select("id", "s", "block"), threshold, "block")
+        gone = led.where(F.col("id") != F.col("leader")).select(F.col("id").alias("__gone"))
+    else:
+        gone = _settled(materialise(keyed), threshold, survivorship)
+    return t.with_df(t.df.join(gone, F.col(RID) == F.col("__gone"), "left_anti"))
+
+
+def _blanks(t: Table) -> Column:
+    return sum((t.blank(m).cast("int") for m in t.metas), F.lit(0))
+
+
+def _settled(keyed: DataFrame, threshold: float, survivorship: str) -> DataFrame:
+    """The rows that go, where a later row may replace an earlier one."""
+    keys = materialise(keyed.groupBy("block", "s").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    pairs = materialise(similar_pairs(keys.drop("n"), threshold, "block"))
+    roots = groups_of(pairs).withColumnRenamed("id", "at")
+    ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = ends.groupBy("a").agg(F.collect_list("b").alias("near"))
+    known = keys.join(roots, F.col("id") == F.col("at"), "left").join(near, F.col("id") == F.col("a"), "left")
+    known = known.where(F.col("at").isNotNull() | (F.col("n") > 1)).select(F.col("block").alias("_block"), F.col("s").alias("_s"), F.col("id").alias("key"), F.coalesce("root", "id").alias("root"), F.coalesce("near", F.array().cast("array<bigint>")).alias("near"))
+    rows = keyed.join(known, (F.col("s") == F.col("_s")) & (F.col("block") == F.col("_block")))
+    rows = rows.select("root", "id", "key", F.length("s").alias("size"), "blanks", F.when(F.col("id") == F.col("key"), F.col("near")).alias("near"))
 
     def survive(group: pd.DataFrame) -> pd.DataFrame:
-        of = {r.id: r for r in group.itertuples(index=False)}
+        group = group.sort_values("id")
+        near = {k: {k, *n} for k, n in group[["key", "near"]].itertuples(index=False) if n is not None}
+        left: dict[int, list[tuple[int, int, int]]] = {}
+        for i, k, size, blanks in group[["id", "key", "size", "blanks"]].itertuples(index=False):
+            left.setdefault(k, []).append((i, size, blanks))
         gone: set[int] = set()
-        for i in sorted(of):
+        for i, k, size, blanks in group[["id", "key", "size", "blanks"]].itertuples(index=False):
             if i in gone:
                 continue
-            for j in sorted(of[i].later):
-                if j in gone:
+            # what the row is compared with, in row order; rows that go are never met again
+            met = heapq.merge(*[left[o] for o in near[k]])
+            taken: set[int] = set()
+            for j, other_size, other_blanks in met:
+                if j <= i or j in gone:
                     continue
-                other = (survivorship == "longest" and of[j].size > of[i].size) or (survivorship == "mostComplete" and of[j].blanks < of[i].blanks)
-                gone.add(i if other else j)
-                if other:
+                if (survivorship == "longest" and other_size > size) or (survivorship == "mostComplete" and other_blanks < blanks):
+                    gone.add(i)
                     break
+                taken.add(j)
+            gone |= taken
+            for o in near[k]:
+                left[o] = [r for r in left[o] if r[0] > i and r[0] not in gone]
         return pd.DataFrame({"__gone": sorted(gone)}, dtype="int64")
 
-    gone = rows.groupBy("root").applyInPandas(survive, "__gone long")
-    return t.with_df(t.df.join(gone, F.col(RID) == F.col("__gone"), "left_anti"))
+    return rows.groupBy("root").applyInPandas(survive, "__gone long")

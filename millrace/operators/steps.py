@@ -12,6 +12,7 @@ import warnings
 from collections.abc import Callable
 from dataclasses import replace
 
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def apply(t: Table, name: str, params: dict | None = None) -> Table:
         return t
     try:
         return STEPS[name][1](t, params or {})
-    except (KeyError, ValueError, TypeError) as error:
+    except (KeyError, ValueError, TypeError, AnalysisException, IllegalArgumentException) as error:
         warnings.warn(f"{name}: {error}", StepWarning, stacklevel=2)
         return t
 
@@ -212,13 +213,12 @@ def row_key(t: Table, metas: list[ColumnMeta]) -> Column:
 
 @step("dedupeRows", ORDERED)
 def dedupe_rows(t: Table, p: dict) -> Table:
-    """The first row of each key. The rows themselves are never sorted or gathered by key:
-    partial minimums of (row, cells) are merged, so a key with a third of all rows is one
-    row of each task."""
+    """The first row of each key: partial minimums of row numbers are merged by hash, so a key
+    with a third of all rows is one small row of each task, and the rows that have a minimum
+    stay. Rows are never sorted or gathered by key."""
     metas = t.pick(p.get("columns") or None)
-    row = F.struct(RID, *[m.id for m in t.metas])
-    best = t.df.groupBy(row_key(t, metas).alias("__key")).agg(F.min_by(row, F.col(RID)).alias("__row"))
-    return t.with_df(best.select("__row.*"))
+    first = t.df.groupBy(row_key(t, metas).alias("__key")).agg(F.min(RID).alias("__first")).select("__first")
+    return t.with_df(t.df.join(first, F.col(RID) == F.col("__first"), "left_semi"))
 
 
 #: Mappings up to this many entries are an expression; larger ones are joined.

@@ -15,8 +15,11 @@ from .functions import cells
 from .operators import analysis, similarity
 from .operators.steps import apply
 from .plans.recipe import Recipe
+from .plans.scratch import scratch_path
 from .plans.table import RID, Table, from_df
-from .plans.view import changed_mask, order_by, search, step_delta
+from .plans.view import changed_mask, order_by, search, sort_cycle, step_delta, subset, window
+from .sources import files
+from .sources.sample import sample_table
 
 DIRTY = {
     "dirty_customer": """
@@ -61,8 +64,14 @@ def source(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | Non
 
 def dirty(sql: str) -> str:
     """SQL whose dirty tables are spelled out."""
-    used = [n for n in DIRTY if n in sql]
-    return ("WITH " + ", ".join(f"{n} AS ({DIRTY[n]})" for n in used) + "\n" + sql) if used else sql
+    used = ", ".join(f"{n} AS ({DIRTY[n]})" for n in DIRTY if n in sql and f"{n} AS (" not in sql)
+    if not used:
+        return sql
+    body = sql.lstrip()
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(head):
+            return f"{head}{used}, {body[len(head) :]}"
+    return f"WITH {used}\n{body}"
 
 
 def query(oracle: str | None, name: str | None = None):
@@ -215,6 +224,7 @@ formulas("text", "dirty_customer", "id", ["name", "segment", "person"], {
     "f_part": ("part(name, '#', 1)", "coalesce(string_split(name, '#')[2], '')"),
     "f_coalesce": ("coalesce(segment, 'none')", "coalesce(nullif(segment, ''), 'none')"),
     "f_regex": ("regexReplace(name, '[0-9]+', '<$&>')", r"regexp_replace(name, '[0-9]+', '<\0>', 'g')"),
+    "f_regex_columns": ("regexReplace(name, concat('[', len(name) % 10, '#]+'), concat('<$&', segment, '>'))", r"regexp_replace(name, '[' || CAST(length(name) % 10 AS VARCHAR) || '#]+', '<\0' || coalesce(segment, '') || '>', 'g')"),
 })
 formulas("substr", "dirty_customer", "id", ["name"], {
     "f_from": ("substr(name, 3)", "substr(name, 4)"),
@@ -235,14 +245,14 @@ formulas("tests", "dirty_customer", "id", ["name", "segment"], {
 })
 formulas("numbers", "dirty_customer", "id", ["amount"], {
     "f_number": ("number(amount)", _LT),
-    "f_minus": ("amount - 1", f"{_LT} - 1"),
-    "f_times": ("amount * 2", f"{_LT} * 2"),
-    "f_div": ("amount / 4", f"{_LT} / 4"),
-    "f_mod": ("amount % 7", f"{_LT} % 7"),
+    "f_minus": ("amount - 1", f"coalesce({_LT} - 1, 'nan')"),
+    "f_times": ("amount * 2", f"coalesce({_LT} * 2, 'nan')"),
+    "f_div": ("amount / 4", f"coalesce({_LT} / 4, 'nan')"),
+    "f_mod": ("amount % 7", f"coalesce({_LT} % 7, 'nan')"),
     "f_plus_text": ("amount + 1", "amount || '1'"),
-    "f_neg": ("-number(amount)", f"-({_LT})"),
-    "f_round": ("round(amount / 3, 2)", f"floor(({_LT} / 3) * 100 + 0.5) / 100"),
-    "f_abs": ("abs(0 - amount)", f"abs(0 - {_LT})"),
+    "f_neg": ("-number(amount)", f"coalesce(-({_LT}), 'nan')"),
+    "f_round": ("round(amount / 3, 2)", f"coalesce(floor(({_LT} / 3) * 100 + 0.5) / 100, 'nan')"),
+    "f_abs": ("abs(0 - amount)", f"coalesce(abs(0 - {_LT}), 'nan')"),
     "f_lt": ("amount < 500", f"coalesce({_LT} < 500, false)"),
     "f_ge": ("amount >= 500", f"coalesce({_LT} >= 500, false)"),
     "f_prec": ("2 + 3 * 4 - (1 + 1) * 2", "CAST(10 AS DOUBLE)"),
@@ -251,6 +261,11 @@ formulas("typed", "part", "p_partkey", ["p_name", "p_size", "p_retailprice"], {
     "f_sum": ("p_size + p_retailprice", "p_size + p_retailprice"),
     "f_str": ("str(p_size) + 'cm'", "CAST(p_size AS VARCHAR) || 'cm'"),
     "f_zero": ("p_size / 0", "CAST('inf' AS DOUBLE)"),
+    "f_nan": ("(p_size - p_size) / 0", "CAST('nan' AS DOUBLE)"),
+    "f_mod_zero": ("p_size % 0", "CAST('nan' AS DOUBLE)"),
+    "f_nan_text": ("str(0 / 0) + p_size", "'NaN' || CAST(p_size AS VARCHAR)"),
+    "f_nan_true": ("if(0 / 0, 'a', 'b')", "'a'"),
+    "f_nan_or": ("number(0 / 0) || p_name", "p_name"),
     "f_missing": ("coalesce(no_such, p_name)", "p_name"),
     "f_gt": ("p_size > 25 && p_retailprice > 1000", "p_size > 25 AND p_retailprice > 1000"),
 })
@@ -264,22 +279,23 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.value_counts(t, "p_name")
 
 
-_PAIRS = "WITH v AS (SELECT DISTINCT p_name FROM part), p AS (SELECT a.p_name AS a, b.p_name AS b FROM v a JOIN v b ON a.p_name < b.p_name AND substr(a.p_name, 1, 1) = substr(b.p_name, 1, 1)) "
+_PAIRS = "WITH v AS (SELECT DISTINCT p_name FROM part), p AS (SELECT a.p_name AS a, b.p_name AS b FROM v a JOIN v b ON a.p_name < b.p_name) "
 
 
-def _first_letter_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = _names(spark, sf_dir).select("value", F.substring("value", 1, 1).alias("k"))
-    return names.select("k", F.col("value").alias("a")).join(names.select("k", F.col("value").alias("b")), "k").where("a < b")
+def _name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of distinct part names, of which there are a few dozen at any size."""
+    names = _names(spark, sf_dir)
+    return names.select(F.col("value").alias("a")).join(names.select(F.col("value").alias("b")), F.col("a") < F.col("b"))
 
 
 @query(_PAIRS + "SELECT a, b, CAST(levenshtein(a, b) AS BIGINT) AS distance FROM p")
 def lev_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _first_letter_pairs(spark, sf_dir).select("a", "b", similarity.levenshtein(F.col("a"), F.col("b")).cast("long").alias("distance"))
+    return _name_pairs(spark, sf_dir).select("a", "b", similarity.levenshtein(F.col("a"), F.col("b")).cast("long").alias("distance"))
 
 
 @query(_PAIRS + "SELECT a, b, 1.0::DOUBLE - CAST(levenshtein(a, b) AS DOUBLE) / greatest(length(a), length(b)) AS similarity FROM p")
 def edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _first_letter_pairs(spark, sf_dir).select("a", "b", similarity.edit_similarity(F.col("a"), F.col("b")).alias("similarity"))
+    return _name_pairs(spark, sf_dir).select("a", "b", similarity.edit_similarity(F.col("a"), F.col("b")).alias("similarity"))
 
 
 @query("WITH v AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS a, b.p_name AS b FROM v a JOIN v b ON a.p_name < b.p_name WHERE jaro_winkler_similarity(a.p_name, b.p_name) >= 0.9")
@@ -299,10 +315,6 @@ _GRAMS = "regexp_replace(lower(value), '[^a-z0-9]', '', 'g')"
 _NGRAM = f"CASE WHEN length({_GRAMS}) < 2 THEN '' ELSE array_to_string(list_sort(list_distinct(list_transform(range(1, length({_GRAMS})), lambda i: substr({_GRAMS}, i, 2)))), '') END"
 
 
-def _with(sql: str) -> str:
-    return sql.replace("\nWITH ", "\nWITH dirty_customer AS (" + DIRTY["dirty_customer"] + "), ", 1)
-
-
 def _clusters(method: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return similarity.clusters(source(spark, sf_dir, "dirty_customer", ["id", "segment"]), "segment", method).select("key", "suggestion", "total")
@@ -312,24 +324,69 @@ def _clusters(method: str):
 
 for _method, _key in (("fingerprint", _FINGER), ("ngram", _NGRAM)):
     QUERIES[f"{_method}_clusters"] = _clusters(_method)
-    ORACLES[f"{_method}_clusters"] = _with(_CLUSTER.format(_key))
+    ORACLES[f"{_method}_clusters"] = dirty(_CLUSTER.format(_key))
 
 
-@query(None)
+@query("""
+WITH RECURSIVE v AS (SELECT p_name AS value, count(*) AS n, min(p_partkey) AS f FROM part GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY f) AS i FROM v),
+g(i, leaders) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(f BIGINT, s VARCHAR)[])
+  UNION ALL
+  SELECT o.i, CASE WHEN len(list_filter(leaders, lambda l: jaro_winkler_similarity(l.s, lower(o.value)) >= 0.85)) > 0 THEN leaders ELSE list_append(leaders, {'f': o.f, 's': lower(o.value)}) END
+  FROM g JOIN o ON o.i = g.i + 1),
+l AS (SELECT unnest(leaders, recursive := true) FROM (SELECT leaders FROM g ORDER BY i DESC LIMIT 1)),
+m AS (SELECT o.value, o.n, o.f, min(l.f) AS leader FROM o JOIN l ON l.f <= o.f AND jaro_winkler_similarity(l.s, lower(o.value)) >= 0.85 GROUP BY ALL)
+SELECT 'nn_' || leader AS key, arg_max(value, struct_pack(n := n, f := -f)) AS suggestion, CAST(sum(n) AS BIGINT) AS total, min(f) AS first, list(value ORDER BY n DESC, f) AS values
+FROM m GROUP BY leader HAVING count(*) > 1""")
 def nearest_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.clusters(source(spark, sf_dir, "part", ["p_partkey", "p_name"]), "p_name", "levenshtein", 0.85)
 
 
+@query("WITH k AS (SELECT lower(p_name) AS k, min(p_partkey) AS f FROM part GROUP BY 1) SELECT p_partkey, f AS leader FROM part JOIN k ON lower(p_name) = k")
+def fuzzy_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first row of each row's key."""
+    t = source(spark, sf_dir, "part", ["p_partkey", "p_name"])
+    keyed = t.df.select(F.col(RID).alias("p_partkey"), similarity.fuzzy_key(t, ["p_name"]).alias("k"))
+    return keyed.join(keyed.groupBy("k").agg(F.min("p_partkey").alias("leader")), "k").select("p_partkey", "leader")
+
+
+@query(("\nWITH v AS (SELECT segment AS value, count(*) AS n, min(id) AS f FROM dirty_customer WHERE trim(segment) <> '' GROUP BY 1), k AS (SELECT *, lower(trim(value)) AS k, count(*) OVER (PARTITION BY lower(trim(value))) AS c FROM v) SELECT value, first_value(value) OVER (PARTITION BY k ORDER BY n DESC, f) AS suggestion FROM k WHERE c > 1"))
+def cluster_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mapping that accepts all clusters (the segments hold one word each)."""
+    found = similarity.clusters(source(spark, sf_dir, "dirty_customer", ["id", "segment"]), "segment")
+    return spark.createDataFrame(list(similarity.mapping_of(found).items()), "value string, suggestion string")
+
+
 def _fuzzy(survivorship: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = apply(source(spark, sf_dir, "part", ["p_partkey", "p_name"]), "dedupeRows", {"columns": ["p_name"]})
+        t = source(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand"])
+        if survivorship == "mostComplete":  # some rows lack a cell
+            t = apply(t, "expression", {"expr": "if(p_partkey % 3 == 0, '', p_brand)", "mode": "replace", "target": "p_brand"})
         return apply(t, "fuzzyDedupe", {"columns": ["p_name"], "threshold": 0.85, "survivorship": survivorship}).to_df()
 
     return run
 
 
-for _s in ("first", "longest", "mostComplete"):
+#: The greedy rule, row after row: the list of rows that are gone grows along the recursion.
+_SETTLE = """
+WITH RECURSIVE t AS (SELECT p_partkey, p_name, {container} AS p_brand, lower(p_name) AS s, CAST({blanks} AS INT) AS blanks, row_number() OVER (ORDER BY p_partkey) AS i FROM part),
+k AS (SELECT s, min(i) AS f FROM t GROUP BY s),
+p AS (SELECT a.s AS a, b.s AS b FROM k a JOIN k b ON substr(a.s, 1, 1) = substr(b.s, 1, 1) AND (a.s = b.s OR jaro_winkler_similarity(a.s, b.s) >= 0.85)),
+m AS (SELECT a.i, list(b.i ORDER BY b.i) AS later, list({swap} ORDER BY b.i) AS swaps FROM t a JOIN p ON a.s = p.a JOIN t b ON b.s = p.b AND b.i > a.i GROUP BY a.i),
+n AS (SELECT t.i, coalesce(later, []) AS later, coalesce(swaps, []) AS swaps FROM t LEFT JOIN m USING (i)),
+g(i, gone) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT n.i, CASE WHEN list_contains(gone, n.i) THEN gone ELSE (
+    SELECT CASE WHEN x.swap IS NULL THEN list_concat(gone, x.free) ELSE list_append(list_concat(gone, list_filter(x.free, lambda f: f < x.swap)), n.i) END
+    FROM (SELECT list_filter(n.later, lambda j: NOT list_contains(gone, j)) AS free, list_min(list_filter(n.later, lambda j, pos: NOT list_contains(gone, j) AND n.swaps[pos])) AS swap) x) END
+  FROM g JOIN n ON n.i = g.i + 1)
+SELECT p_partkey, p_name, p_brand FROM t WHERE NOT list_contains((SELECT gone FROM g ORDER BY i DESC LIMIT 1), i)"""
+for _s, _swap in (("first", "false"), ("longest", "length(b.s) > length(a.s)"), ("mostComplete", "b.blanks < a.blanks")):
+    _some = _s == "mostComplete"
     QUERIES[f"fuzzy_dedupe_{_s}"] = _fuzzy(_s)
+    ORACLES[f"fuzzy_dedupe_{_s}"] = _SETTLE.format(swap=_swap, container="CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END" if _some else "p_brand", blanks="CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END" if _some else "0")
 
 # -- analysis ------------------------------------------------------------------------------------------------
 
@@ -385,7 +442,27 @@ def quality_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c.name, c.blanks, c.stray) for c in found["columns"] if c.name != "id"], "name string, blanks long, stray long")
 
 
-@query(None)
+#: One row a column of the dirty customers: name, place and cells as text.
+_CELLS = ", ".join(f"({i}, '{c}', CAST({c} AS VARCHAR))" for i, c in enumerate(("id", "name", "segment", "phone", "amount", "flag", "person", "empty_col")))
+_LONG = f"long AS (SELECT id, u.spot, u.col, u.x FROM dirty_customer, LATERAL (VALUES {_CELLS}) AS u(spot, col, x))"
+_FORMS = "forms AS (SELECT spot, col, lower(trim(x)) AS k, x AS value, count(*) AS n FROM long WHERE trim(coalesce(x, '')) <> '' AND col <> 'id' GROUP BY ALL), variants AS (SELECT spot, col, k FROM forms GROUP BY ALL HAVING count(*) > 1)"
+_STRAY = "count(*) FILTER (x <> trim(x) OR contains(x, '  '))"
+
+
+def _dirty_long(sql: str) -> str:
+    return f"WITH {_LONG}, {_FORMS}, {sql}"
+
+
+_IS = {"int": "regexp_matches(x, '^-?[0-9]{1,15}$')", "dec": "regexp_matches(x, '^-?([0-9]{1,3}(,[0-9]{3})*|[0-9]+)(\\.[0-9]+)?$')", "bool": "lower(trim(x)) IN ('true','yes','y','1','false','no','n','0')"}
+
+
+@query((_dirty_long(f"""c AS (
+  SELECT spot, count(*) AS n, count(*) FILTER (trim(coalesce(x, '')) = '') AS blanks, {_STRAY} AS stray, count(x) FILTER (x <> '') AS filled,
+    count(*) FILTER ({_IS['int']}) AS ints, count(*) FILTER ({_IS['dec']}) AS decs, count(*) FILTER ({_IS['bool']}) AS bools FROM long GROUP BY spot),
+q AS (SELECT c.*, spot > 0 AND filled > 0 AND (bools = filled OR ints >= 0.95 * filled OR decs >= 0.95 * filled) AS looks, spot IN (SELECT spot FROM variants) AS varies FROM c),
+d AS (SELECT coalesce(sum(m - 1), 0) AS dups FROM (SELECT count(*) AS m FROM dirty_customer GROUP BY id, name, segment, phone, amount, flag, person)),
+e AS (SELECT 1 - sum(blanks) / sum(n) AS complete, count(*) FILTER (blanks > 0 OR (spot > 0 AND stray > 0) OR looks OR varies) AS bad FROM q)
+SELECT CAST(greatest(0, floor(complete * 100 - least(15, 3 * dups) - least(20, 4 * bad) + 0.5)) AS INT) AS score, CAST(dups AS BIGINT) AS duplicates, CAST(complete AS DOUBLE) AS completeness FROM d, e""")))
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = source(spark, sf_dir, "dirty_customer")
     found = analysis.quality(t)
@@ -398,7 +475,12 @@ def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(found.values())], "rows long, cols long, totalCells long, emptyCells long")
 
 
-@query(None)
+@query((_dirty_long(f"""s AS (SELECT spot, col FROM long WHERE spot > 0 GROUP BY ALL HAVING {_STRAY} > 0),
+r AS (
+  SELECT 0 AS a, 0 AS b, 'trim' AS id, 'trim' AS type, 'Trim spaces in ' || (SELECT count(*) FROM s) || ' columns' AS label
+  UNION ALL SELECT 2, 0, 'empty_cols', 'removeEmptyColumns', 'Remove empty columns'
+  UNION ALL SELECT DISTINCT 5, spot, 'case_' || col, 'clusterMerge', 'Merge case variants in ' || col FROM variants)
+SELECT CAST(row_number() OVER (ORDER BY a, b) - 1 AS INT) AS place, id, type, label FROM r""")))
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = analysis.suggestions(source(spark, sf_dir, "dirty_customer"))
     return spark.createDataFrame([(i, o.id, o.type, o.label) for i, o in enumerate(found)], "place int, id string, type string, label string")
@@ -446,11 +528,136 @@ RECIPE = (
 )
 
 
-@query(f"""SELECT id, name, segment, phone, last, double_amount FROM (
+_RECIPE_SQL = f"""SELECT id, name, segment, phone, last, double_amount FROM (
  SELECT id, {_COLLAPSE.format('name')} AS name, upper(trim(segment)) AS segment,
   CASE WHEN {_DIGITS} = '' THEN NULL WHEN starts_with(trim(phone), '+') THEN '+' || {_DIGITS} WHEN starts_with({_DIGITS}, '00') THEN '+' || substr({_DIGITS}, 3) WHEN length({_DIGITS}) = 10 THEN '+1' || {_DIGITS} ELSE '+' || {_DIGITS} END AS phone,
-  CASE id % 3 WHEN 0 THEN 'Lovelace' WHEN 1 THEN 'Hopper' ELSE '' END AS last, {_LT} * 2 AS double_amount,
+  CASE id % 3 WHEN 0 THEN 'Lovelace' WHEN 1 THEN 'Hopper' ELSE '' END AS last, coalesce({_LT} * 2, 'nan') AS double_amount,
   row_number() OVER (PARTITION BY {_COLLAPSE.format('name')} ORDER BY id) AS rn
- FROM dirty_customer WHERE trim(coalesce(segment, '')) <> '') WHERE rn = 1""")
+ FROM dirty_customer WHERE trim(coalesce(segment, '')) <> '') WHERE rn = 1"""
+
+
+@query(_RECIPE_SQL)
 def recipe_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RECIPE.fold(source(spark, sf_dir, "dirty_customer")).to_df()
+
+
+@query(_RECIPE_SQL)
+def recipe_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recipe as read back from its file."""
+    path = scratch_path(spark, ".json")
+    files.write_bytes(spark, path, RECIPE.to_json().encode())
+    return Recipe.from_json(files.read_bytes(spark, path).decode()).fold(source(spark, sf_dir, "dirty_customer")).to_df()
+
+
+@query("""WITH c AS (SELECT count(*) AS n, count(*) FILTER (trim(coalesce(segment, '')) <> '') AS m FROM dirty_customer)
+SELECT CAST(i AS INT) AS step, CASE WHEN i < 4 THEN n ELSE m END AS "rows", CAST([8, 8, 8, 7, 7, 7, 8, 9, 6, 6][i + 1] AS INT) AS cols FROM c, range(10) AS r(i)""")
+def recipe_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and columns after each step (names are unique in each customer, so none is a duplicate)."""
+    every = RECIPE.fold_all(source(spark, sf_dir, "dirty_customer"))
+    return spark.createDataFrame([(i, t.df.count(), len(t.metas)) for i, t in enumerate(every)], "step int, rows long, cols int")
+
+
+@query("""SELECT * FROM (VALUES ('add', 'trim,replace,dedupeRows'), ('move', 'replace,trim,dedupeRows'), ('off', 'replace,trim'), ('redo', 'replace,trim'), ('remove', 'trim'), ('undo', 'replace,trim,dedupeRows')) AS t(edit, steps)""")
+def recipe_editing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps that run after each edit."""
+    run = lambda r: ",".join(o.type for o in r.ops if o.enabled)
+    added = Recipe().add("trim", columns=["x"]).add("replace", columns=["x"], find="a", replaceWith="b").add("dedupeRows")
+    moved = added.move("op_2", -1)
+    off = moved.toggle("op_3")
+    edits = {"add": added, "move": moved, "off": off, "undo": off.undo(), "redo": off.undo().redo(), "remove": off.remove("op_2")}
+    return spark.createDataFrame([(k, run(r)) for k, r in edits.items()], "edit string, steps string")
+
+
+@query("SELECT * FROM (VALUES ('none', 'asc'), ('asc', 'desc'), ('desc', 'none')) AS t(now, next)")
+def view_sort_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(x or "none", sort_cycle(x) or "none") for x in (None, "asc", "desc")], "now string, next string")
+
+
+@query("SELECT id, name FROM dirty_customer WHERE id % 7 = 0")
+def view_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = source(spark, sf_dir, "dirty_customer", ["id", "name"])
+    return subset(t, t.df.where(F.col(RID) % 7 == 0)).to_df()
+
+
+@query("SELECT id, name FROM dirty_customer ORDER BY id LIMIT 40 OFFSET 20")
+def view_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A display's rows: the limit is the feature."""
+    t = source(spark, sf_dir, "dirty_customer", ["id", "name"])
+    return window(t, 40, 20).select(*[F.col(m.id).alias(m.name) for m in t.metas])
+
+
+@query("SELECT 'name' AS name, avg(CASE WHEN trim(name) = '' THEN 0.0 ELSE 1.0 END) AS share FROM dirty_customer UNION ALL SELECT 'segment', avg(CASE WHEN trim(coalesce(segment, '')) = '' THEN 0.0 ELSE 1.0 END) FROM dirty_customer UNION ALL SELECT 'empty_col', 0.0")
+def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = source(spark, sf_dir, "dirty_customer", ["id", "name", "segment", "empty_col"])
+    return spark.createDataFrame([x for x in analysis.completeness(t).items() if x[0] != "id"], "name string, share double")
+
+
+@query("SELECT CAST(sum(m - 1) AS BIGINT) AS duplicates FROM (SELECT count(*) AS m FROM dirty_events GROUP BY coalesce(event_type, ''), user_id)")
+def duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = source(spark, sf_dir, "dirty_events")
+    return spark.createDataFrame([(analysis.duplicate_rows(t.with_metas(t.pick(["event_type", "user_id"]))),)], "duplicates long")
+
+
+# -- sources and sinks ----------------------------------------------------------------------------------------
+
+
+def _round_trip(ending: str, write: Callable[[Table, str], None]):
+    """A table written and read back."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = scratch_path(spark, ending)
+        write(source(spark, sf_dir, "dirty_customer", ["id", "name", "segment", "amount"]), path)
+        return files.read(spark, path).to_df()
+
+    return run
+
+
+_SAME = "SELECT CAST(id AS VARCHAR) AS id, name, segment, amount FROM dirty_customer"
+_NO_EMPTY = "SELECT CAST(id AS VARCHAR) AS id, name, nullif(segment, '') AS segment, nullif(amount, '') AS amount FROM dirty_customer"
+for _end, _write, _sql in (
+    (".csv", files.write_csv, _NO_EMPTY),
+    (".tsv", files.write_tsv, _NO_EMPTY),
+    (".json", files.write_json, _SAME),
+    (".xlsx", files.write_xlsx, _SAME),
+    (".parquet", files.write_parquet, "SELECT id, name, segment, amount FROM dirty_customer"),
+):
+    QUERIES[f"round_trip_{_end[1:]}"] = _round_trip(_end, _write)
+    ORACLES[f"round_trip_{_end[1:]}"] = dirty(_sql)
+
+
+@query("SELECT CAST(id AS VARCHAR) AS id, name, nullif(segment, '') AS segment FROM dirty_customer WHERE contains(lower(CAST(id AS VARCHAR)), 'auto') OR contains(lower(name), 'auto') OR contains(lower(coalesce(segment, '')), 'auto')")
+def exported_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, ".csv")
+    files.write_view(source(spark, sf_dir, "dirty_customer", ["id", "name", "segment"]), path, "AUTO", "name", "desc")
+    return files.read(spark, path).to_df()
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS \"key\", n_name || ' – Zürich' AS place, n_name || ' Zürich' AS old FROM nation")
+def text_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UTF-8 with its mark, and Latin-1, found out from the bytes."""
+    names = [(r["n_nationkey"], r["n_name"]) for r in source(spark, sf_dir, "nation", ["n_nationkey", "n_name"]).to_df().collect()]  # one row a nation
+    paths = [scratch_path(spark, ".csv") for _ in range(2)]
+    files.write_bytes(spark, paths[0], ("key,place\n" + "".join(f"{k},{n} – Zürich\n" for k, n in names)).encode("utf-8-sig"))
+    files.write_bytes(spark, paths[1], ("key,old\n" + "".join(f"{k},{n} Zürich\n" for k, n in names)).encode("latin-1"))
+    a, b = (files.read(spark, p).to_df() for p in paths)
+    return a.join(b, "key")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation")
+def rows_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small table to rows and back."""
+    header, *rows = source(spark, sf_dir, "nation", ["n_nationkey", "n_name"]).rows()
+    return files.rows_table(spark, header, rows).to_df()
+
+
+@query("SELECT * FROM (VALUES ('a.csv', 'csv'), ('b.TSV', 'tsv'), ('c.json', 'json'), ('d.xlsx', 'xlsx'), ('e.XLS', 'xlsx'), ('f.parquet', 'parquet'), ('g.txt', 'csv'), ('h', 'csv')) AS t(path, format)")
+def format_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = ("a.csv", "b.TSV", "c.json", "d.xlsx", "e.XLS", "f.parquet", "g.txt", "h")
+    return spark.createDataFrame([(p, files.format_of(p)) for p in paths], "path string, format string")
+
+
+@query("SELECT * FROM (VALUES ('2021-05-02', 2), ('2021-06-17', 2), ('2021-07-30', 2), ('2021-08-31', 2), ('2021-12-25', 2), ('99/99/2021', 1)) AS t(day, n)")
+def sample_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls a day in the built-in sample, its dates brought to one form."""
+    t = apply(apply(sample_table(spark), "removeEmptyRows"), "standardizeDate", {"column": "Arrived"})
+    return t.to_df(["Arrived"]).groupBy(F.col("Arrived").alias("day")).agg(F.count("*").cast("int").alias("n"))

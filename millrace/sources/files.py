@@ -1,8 +1,11 @@
 """Reading and writing tables: CSV, TSV, JSON, XLSX, Parquet.
 
-Text sources give text cells with inferred logical types; rows keep the file's order in
-__rid. Files go through Spark's readers; only a head is looked at on the driver, to find a
-delimiter or the order of keys.
+Text sources give text cells with inferred logical types; rows keep the order of files and
+of rows in a file in __rid, however a scan is split. A path may be a file or a folder of part
+files. Files go through Spark's readers; only a head is looked at on the driver, to find a
+delimiter or the order of keys. A JSON array is one cell while it is read (a file up to
+2 GB); one object a line is read in parallel, and so is CSV, unless a quoted cell holds a line
+break, which makes a file one task.
 """
 
 from __future__ import annotations
@@ -11,12 +14,14 @@ import csv
 import io
 import json
 import re
+import tempfile
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +31,7 @@ from ..plans.table import RID, ColumnMeta, Table
 from ..plans.view import view
 
 HEAD_BYTES = 1 << 16
+FILE_BITS = 40  # files up to a TB, eight million of them
 
 
 def format_of(path: str) -> str:
@@ -35,9 +41,16 @@ def format_of(path: str) -> str:
 
 
 def _head(spark: SparkSession, path: str, size: int = HEAD_BYTES) -> bytes:
+    """The first bytes (all, if size is 0) of a file, or of a folder's first data file."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getFileStatus(at).isDirectory():
+        parts = sorted((s.getPath().getName(), s.getLen()) for s in fs.listStatus(at) if s.isFile())
+        parts = [n for n, size_ in parts if size_ and not n.startswith(("_", "."))]
+        if not parts:
+            return b""
+        at = jvm.org.apache.hadoop.fs.Path(at, parts[0])
     stream = fs.open(at)
     try:
         return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, size))) if size else bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
@@ -45,6 +58,21 @@ def _head(spark: SparkSession, path: str, size: int = HEAD_BYTES) -> bytes:
         stream.close()
 
 
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """A whole small file, such as a recipe."""
+    return _head(spark, path, 0)
+
+
+def write_bytes(spark: SparkSession, path: str, raw: bytes) -> None:
+    """A small file on any file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(raw))
+    finally:
+        out.close()
+
+
 def encoding_of(head: bytes) -> str:
     """UTF-8 if it reads as such (a cut last character aside), else Latin-1."""
     try:
@@ -67,36 +95,71 @@ def sniff_delimiter(head: str) -> str:
     return best
 
 
-def _ordered(spark: SparkSession, df: DataFrame, names: list[str]) -> Table:
-    """Rows of one or several files in file and line order. The order number is made of
-    the partition and the row in it, which a scan gives in file order; no sort is needed."""
+def _numbered(df: DataFrame, columns: list[Column], at: Column | None = None) -> DataFrame:
+    """__rid and the columns: a number that grows with the file's name and the row in it. A split
+    of a file begins at a byte, and its rows, one byte long at least, are counted on from there;
+    rows that know their place (at) have it already."""
+    if at is None:
+        at = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    paths = sorted(set(df.inputFiles()))
+    if len(paths) < 2:
+        return df.select(at.alias(RID), *columns)
+    spark = df.sparkSession
+    ranks = spark.createDataFrame([(p, i << FILE_BITS) for i, p in enumerate(paths)], "__path string, __base long")
+    out = df.select(F.col("_metadata.file_path").alias("__file"), at.alias("__at"), *columns)
+    out = out.join(ranks, F.col("__file") == F.col("__path"), "left")
+    return out.select((F.col("__base") + F.col("__at")).alias(RID), *[c for c in out.columns if not c.startswith("__")])
+
+
+def _ordered(df: DataFrame, names: list[str]) -> Table:
     metas = tuple(ColumnMeta(f"c{i}", n or f"Column {i + 1}") for i, n in enumerate(names))
-    out = df.select(F.monotonically_increasing_id().alias(RID), *[F.col(f"`{c}`").alias(m.id) for c, m in zip(df.columns, metas, strict=True)])
-    return Table(out, metas, len(metas))
+    return Table(_numbered(df, [F.col(f"`{c}`").alias(m.id) for c, m in zip(df.columns, metas, strict=True)]), metas, len(metas))
+
+
+def _broken_lines(spark: SparkSession, path: str, encoding: str) -> bool:
+    """Whether a line has an odd number of quotes, so that a quoted cell goes on in the next."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = spark.read.option("encoding", encoding).text(path)
+    return not lines.where(quotes % 2 == 1).limit(1).isEmpty()
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> Table:
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, multiline: bool | None = None) -> Table:
+    """multiline: whether quoted cells hold line breaks; if not told, a scan finds out."""
     head = _head(spark, path)
     encoding = encoding_of(head)
     text = head.decode(encoding, "ignore").lstrip("﻿")
     delimiter = delimiter or sniff_delimiter(text)
     header = next(csv.reader(io.StringIO(text), delimiter=delimiter), [])
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
-    options = {"header": True, "multiLine": True, "sep": delimiter, "quote": '"', "escape": '"', "encoding": encoding, "enforceSchema": True, "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    t = _ordered(spark, spark.read.options(**options).schema(schema).csv(path), header)
+    if multiline is None:
+        multiline = _broken_lines(spark, path, encoding)
+    options = {"header": True, "multiLine": multiline, "sep": delimiter, "quote": '"', "escape": '"', "encoding": encoding, "enforceSchema": True, "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    t = _ordered(spark.read.options(**options).schema(schema).csv(path), header)
     some = F.lit(False)
     for m in t.metas:
         some = some | ~t.blank(m)
     return with_types(t.filter(some))
 
 
+def _one_a_line(head: bytes) -> bool:
+    """Whether the first lines are whole JSON objects, and more than one."""
+    lines = [x for x in head.split(b"\n")[:3] if x.strip()]
+    try:
+        return len(lines) > 1 and all(isinstance(json.loads(x), dict) for x in lines[:2])
+    except ValueError:
+        return False
+
+
 def read_json(spark: SparkSession, path: str) -> Table:
     """An array of objects (or one object); keys in order of first sight, nested values as
     JSON text. The keys come from a scan that keeps the least place of each."""
-    raw = spark.read.text(path, wholetext=True)
-    whole = F.trim("value")
-    listed = F.when(whole.startswith("["), whole).otherwise(F.concat(F.lit("["), whole, F.lit("]")))
-    items = raw.select(F.posexplode(F.from_json(listed, "array<string>")).alias("i", "item")).withColumn("base", F.monotonically_increasing_id())
+    if _one_a_line(_head(spark, path)):
+        items = _numbered(raw := spark.read.text(path), [F.col("value").alias("item")]).withColumnRenamed(RID, "base").where(F.trim("item") != "")
+    else:
+        raw = _numbered(spark.read.text(path, wholetext=True), [F.col("value")])
+        whole = F.regexp_replace("value", r"^[\s\uFEFF]+", "")
+        listed = F.when(whole.startswith("["), whole).otherwise(F.concat(F.lit("["), whole, F.lit("]")))
+        items = raw.select(RID, F.posexplode(F.from_json(listed, "array<string>")).alias("i", "item")).select((F.col(RID) + F.col("i")).alias("base"), "item")
     keyed = items.select("base", "item", F.json_object_keys("item").alias("keys"))
     firsts = keyed.select("base", F.posexplode("keys").alias("at", "k")).groupBy("k").agg(F.min(F.struct("base", "at")).alias("first")).orderBy("first").collect()
     names = [r["k"] for r in firsts]
@@ -111,7 +174,7 @@ def read_parquet(spark: SparkSession, path: str) -> Table:
     df = spark.read.parquet(path)
     of = {"bigint": cells.INTEGER, "int": cells.INTEGER, "double": cells.DECIMAL, "float": cells.DECIMAL, "boolean": cells.BOOLEAN}
     metas = tuple(ColumnMeta(f"c{i}", f.name, of.get(f.dataType.simpleString(), cells.TEXT)) for i, f in enumerate(df.schema))
-    return Table(df.select(F.monotonically_increasing_id().alias(RID), *[F.col(f"`{f.name}`").alias(m.id) for f, m in zip(df.schema, metas, strict=True)]), metas, len(metas))
+    return Table(_numbered(df, [F.col(f"`{f.name}`").alias(m.id) for f, m in zip(df.schema, metas, strict=True)], F.col("_metadata.row_index")), metas, len(metas))
 
 
 def rows_table(spark: SparkSession, names: list[str], rows: list[list]) -> Table:
@@ -125,16 +188,85 @@ def rows_table(spark: SparkSession, names: list[str], rows: list[list]) -> Table
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
 
+# The number formats that workbooks know by number alone.
+BUILT_IN = {1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 14: "m/d/yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss", 22: "m/d/yy h:mm"}
+_DATE_PART = re.compile(r"AM/PM|y+|m+|d+|h+|s+", re.IGNORECASE)
+
+
+def shown(value: str, code: str) -> str:
+    """A cell's number as its format shows it: dates and times, decimals, thousands, percent."""
+    try:
+        number = float(value)
+    except ValueError:
+        return value
+    bare = re.sub(r"\\(.)", r"\1", re.sub(r'"[^"]*"|\[[^\]]*\]', "", code.split(";")[0]))
+    if re.search("[ymdhs]", bare, re.IGNORECASE) and not re.search("[0#]", bare):
+        return _as_date(number, bare)
+    places = re.search(r"[0#]+(?:\.([0#]+))?", bare.replace(",", ""))
+    if not places:
+        return repr(int(number)) if number == int(number) else value
+    number *= 100 if "%" in bare else 1
+    return f"{number:{',' if ',' in bare else ''}.{len(places[1] or '')}f}" + ("%" if "%" in bare else "")
+
+
+def _as_date(serial: float, code: str) -> str:
+    at = datetime(1899, 12, 30) + timedelta(days=int(serial), seconds=round(serial % 1 * 86400))
+    half, after_hour = "am/pm" in code.lower(), False
+
+    def put(m: re.Match) -> str:
+        nonlocal after_hour
+        part = m[0].lower()
+        n, minute = len(part), part[0] == "m" and (after_hour or code[m.end() :].lstrip(":. ").lower().startswith("s"))
+        after_hour = part[0] == "h"
+        if part == "am/pm":
+            return "AM" if at.hour < 12 else "PM"
+        if minute:
+            return f"{at.minute:0{min(n, 2)}d}"
+        if part[0] == "y":
+            return f"{at.year:04d}" if n > 2 else f"{at.year % 100:02d}"
+        if part[0] == "m":
+            return at.strftime("%b" if n == 3 else "%B") if n > 2 else f"{at.month:0{n}d}"
+        if part[0] == "d":
+            return at.strftime("%a" if n == 3 else "%A") if n > 2 else f"{at.day:0{n}d}"
+        hour = (at.hour % 12 or 12) if half else at.hour
+        return f"{hour if part[0] == 'h' else at.second:0{min(n, 2)}d}"
+
+    return _DATE_PART.sub(put, code)
+
+
+def _formats(z: zipfile.ZipFile) -> list[str]:
+    """The number format of each cell style."""
+    if "xl/styles.xml" not in z.namelist():
+        return []
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    own = {int(x.get("numFmtId", 0)): x.get("formatCode", "") for x in root.iter(f"{{{_NS['m']}}}numFmt")}
+    styles = root.find("m:cellXfs", _NS)
+    return [own.get(k) or BUILT_IN.get(k, "") for k in (int(x.get("numFmtId", 0)) for x in (styles if styles is not None else []))]
+
+
+def _first_sheet(z: zipfile.ZipFile) -> str:
+    """The part of the sheet that the workbook lists first."""
+    names = set(z.namelist())
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= names:
+        sheet = ElementTree.fromstring(z.read("xl/workbook.xml")).find("m:sheets/m:sheet", _NS)
+        wanted = None if sheet is None else next((v for k, v in sheet.attrib.items() if k.endswith("}id")), None)
+        for x in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")):
+            if x.get("Id") == wanted:
+                part = x.get("Target", "").lstrip("/")
+                part = part if part.startswith("xl/") else f"xl/{part}"
+                if part in names:
+                    return part
+    return min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+
+
 def _xlsx_rows(raw: bytes) -> list[list[str | None]]:
-    """Cells of the first sheet as text."""
+    """Cells of the first sheet as text, as their formats show them."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        names = z.namelist()
-        shared = []
-        if "xl/sharedStrings.xml" in names:
+        shared, formats = [], _formats(z)
+        if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(x.text or "" for x in si.iter(f"{{{_NS['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
-        sheet = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))[0]
         out: list[list[str | None]] = []
-        for row in ElementTree.fromstring(z.read(sheet)).iter(f"{{{_NS['m']}}}row"):
+        for row in ElementTree.fromstring(z.read(_first_sheet(z))).iter(f"{{{_NS['m']}}}row"):
             got: list[str | None] = []
             for c in row.findall("m:c", _NS):
                 letters = re.match(r"[A-Z]+", c.get("r", ""))
@@ -144,7 +276,9 @@ def _xlsx_rows(raw: bytes) -> list[list[str | None]]:
                 if kind == "inlineStr":
                     got[at] = "".join(x.text or "" for x in c.iter(f"{{{_NS['m']}}}t"))
                 elif v is not None and v.text is not None:
-                    got[at] = shared[int(v.text)] if kind == "s" else {"1": "TRUE", "0": "FALSE"}.get(v.text, v.text) if kind == "b" else v.text
+                    style = int(c.get("s", 0))
+                    code = formats[style] if style < len(formats) else ""
+                    got[at] = shared[int(v.text)] if kind == "s" else {"1": "TRUE", "0": "FALSE"}.get(v.text, v.text) if kind == "b" else shown(v.text, code) if code and kind in (None, "n") else v.text
             out.append(got)
         return out
 
@@ -171,7 +305,7 @@ def write_csv(t: Table, path: str, delimiter: str = ",", single: bool = False) -
     df = t.df.orderBy(RID).select(*[t.text(m).alias(m.id) for m in t.metas])
     df = df.coalesce(1) if single else df
     named = df.toDF(*_unique(t.names))
-    named.write.mode("overwrite").csv(path, header=True, sep=delimiter, quote='"', escape='"', lineSep="\r\n" if single else "\n", emptyValue="", nullValue="")
+    named.write.mode("overwrite").csv(path, header=True, sep=delimiter, quote='"', escape='"', lineSep="\r\n" if single else "\n", emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_tsv(t: Table, path: str, single: bool = False) -> None:
@@ -195,13 +329,15 @@ def json_array(t: Table) -> Iterator[str]:
 
 
 def write_parquet(t: Table, path: str) -> None:
-    t.to_df(rid=False).write.mode("overwrite").parquet(path)
+    """Columns without __rid, in row order: files and rows in them are in the order of rows."""
+    names = _unique(t.names)
+    t.ordered().select(*[F.col(m.id).alias(n) for m, n in zip(t.metas, names, strict=True)]).write.mode("overwrite").parquet(path)
 
 
 def write_view(t: Table, path: str, text: str = "", column: str | None = None, direction: str | None = None) -> None:
     """The searched and sorted rows as CSV."""
     df = view(t, text, column, direction)
-    df.select(*[t.text(m).alias(m.id) for m in t.metas]).toDF(*_unique(t.names)).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="")
+    df.select(*[t.text(m).alias(m.id) for m in t.metas]).toDF(*_unique(t.names)).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def _unique(names: list[str]) -> list[str]:
@@ -232,7 +368,17 @@ def _letters(i: int) -> str:
 
 
 def write_xlsx(t: Table, path: str) -> None:
-    """One sheet in one local file, streamed from the rows in order."""
+    """One sheet in one file on any file system, streamed from the rows in order."""
+    spark = t.df.sparkSession
+    with tempfile.TemporaryDirectory() as folder:
+        local = f"{folder}/sheet.xlsx"
+        _write_sheet(t, local)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        here = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{local}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(False, True, here, at)
+
+
+def _write_sheet(t: Table, path: str) -> None:
     kinds = {
         "[Content_Types].xml": '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
         "_rels/.rels": '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',

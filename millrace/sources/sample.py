@@ -1,4 +1,4 @@
-"""A small built-in table with every kind of defect."""
+"""A small built-in table with every kind of defect: boats that called at a harbour."""
 
 from __future__ import annotations
 
@@ -7,23 +7,20 @@ from pyspark.sql import SparkSession
 from ..plans.table import Table
 from .files import rows_table
 
-NAMES = ["Name", "Country", "Signup Date", "Phone", "Plan", "Revenue"]
+NAMES = ["Boat", "Arrived", "Skipper", "Berth fee", "Radio phone", "Dry dock", "Remarks"]
 ROWS = [
-    ["  Imani Okoro", "Kenya", "2023-11-04", "(415) 555-0101", "Basic", "1,250.00"],
-    ["imani okoro", "kenya ", "4 Nov 2023", "415 555 0101", "basic", "1,250.00"],
-    ["Tomas Lindqvist", "SE", "17/02/2024", "+46 8 123 456", "Plus", "980.50"],
-    ["Tomas Lindqvist ", "Sweden", "Feb 17, 2024", "0046 8 123456", "PLUS ", "980.50"],
-    ["Priya Raman", "India", "2024/03/09", "", "Plus", "2,310.75"],
-    ["", "India", "", "91 22 555 0199", "Team", ""],
-    ["Priya  Raman", "IN", "9 Mar 2024", None, "plus", "2,310.75"],
-    ["Jonas Weber", "Germany", "30.06.2023", "030 555 0142", "Team", "12,400.00"],
-    ["Jonas Webber", "germany", "30/06/2023", "(030) 555-0142", "team", "12,400.00"],
-    ["Lucia Marino", "Italy", "12/25/2023", "1-212-555-0177", "Basic", "75.25"],
-    ["Lucia Marino", "Italy", "12/25/2023", "1-212-555-0177", "Basic", "75.25"],
-    ["Aoife Byrne", "Ireland", "2024-01-31", "+353 1 555 0123", "Basic", "310.00"],
-    ["Chen Wei", "United  States", "Jan 8, 2024", "(650) 555-0188", "Team", "5,005.10"],
-    ["chen wei", "US", "8 Jan 2024", "650-555-0188", "Team", "5,005.10"],
-    ["Sofia Duarte", "Portugal", "99/99/2024", "n/a", "Plus", "640.00"],
+    [" Kittiwake", "2021-05-02", "Vos, Hanne", "35.50", "+31 10 555 0100", "no", ""],
+    ["kittiwake ", "2 May 2021", "Hanne Vos", "35.50", "0031 10 555 0100", "No", ""],
+    ["Storm  Petrel", "17/06/2021", "Ruben Dias", "1,120.00", "(415) 555-0133", "yes", ""],
+    ["Storm Petrel", "Jun 17, 2021", "Ruben Dias", "1,120.00", "415 555 0133", "YES", ""],
+    ["Gannet", "2021/07/30", "", "48", "", "no", ""],
+    ["Gannet", "2021/07/30", "", "48", "", "no", ""],
+    ["Guillemot", "31.08.2021", "Aylin Kaya", "52.25", "n/a", "yes", ""],
+    ["Guillemott", "31 Aug 2021", "Aylin Kaya", "52.25", "030 555 0142", "yes", ""],
+    ["", "", "", "", "", "", ""],
+    ["Razorbill", "12/25/2021", "Osei, Kwame", "60.75", "1-212-555-0177", "no", ""],
+    ["RAZORBILL", "25 Dec 2021", "Kwame Osei", "60.75", "212 555 0177", "no", ""],
+    ["Shearwater", "99/99/2021", "Mei Tan", "75", None, "yes", ""],
 ]
 
 
