@@ -137,6 +137,23 @@ def bit_filter(values: DataFrame, bits: int = FILTER_BITS) -> Callable[[Column],
     return test
 
 
+HOT = 100_000
+SALTS = 64
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, by: Column) -> DataFrame:
+    """left joined to right by key. right has a row for each key and in the column count how many
+    rows of left have it; keys of HOT rows or more are joined in SALTS parts, into which left
+    is dealt by the hash of by, so that no task gets all rows of a key."""
+    hot = right.where(F.col(count) >= HOT)
+    if hot.isEmpty():
+        return left.join(right, key)
+    is_hot = F.coalesce(bit_filter(hot.select(key))(F.col(key)), F.lit(False))
+    parts = right.where(is_hot).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    some = left.where(is_hot).withColumn("_part", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return some.join(parts, [key, "_part"]).drop("_part").unionByName(left.where(~is_hot).join(right.where(~is_hot), key))
+
+
 #: A-Z become a-z; digits, letters and bytes of non-ASCII characters stay; all else is a gap.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: As WORD_BYTES, but digits are gaps too.

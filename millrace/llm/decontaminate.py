@@ -9,11 +9,17 @@ shingle that stands at o in its window fixes the window's place, p - o, which mu
 inside the document (positional and length bounds) and is then compared word by word.
 
 Rarity is counted over all documents in a first pass. The benchmark is cut into blocks of
-at most BLOCK_WORDS words; each block is one pass, so what is broadcast has a fixed bound
-however large the benchmark is.
+at most BLOCK_WORDS words (or one item); each block is one pass over the documents, so what is
+held and broadcast has a fixed bound however large the benchmark is: its words and windows
+are numbers in flat arrays, some 150 bytes a word at the peak, and a table of its distinct
+words.
 
 Nulls: a null text has no words and is not contaminated; benchmark rows with a null id or
-text take no part. Repeated document rows each get a row; repeated items count once.
+text take no part. Repeated document rows each get a row; repeated items count once, and
+windows that several items share are compared once. Of shingles equally rare the earliest is
+the prefix. An empty table or benchmark gives rows without spans. Columns of the documents may
+have any names; kept ones called n_words, spans or items are replaced. A task holds the words
+of one text at a time, as numbers.
 """
 
 from __future__ import annotations
@@ -25,49 +31,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_bytes, materialise, rows_of, words
+from .common import arrow_map, as_bytes, materialise, pack, rows_of, unpack, words
 
 SHINGLE = 5
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Block:
-    """Windows of some items, with their words numbered from 1 (0: any other word)."""
-
-    def __init__(self, items: list[tuple[str, list[bytes]]], n: int, shingle: int):
-        self.vocab: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for key, ws in items:
-            ids = tuple(self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws)
-            for i in range(max(1, len(ids) - n + 1)):
-                found.setdefault(ids[i : i + n], set()).add(key)
-        self.windows = [(np.array(w, np.int64), sorted(keys)) for w, keys in found.items()]
-        self.shingle = shingle
-        self.sizes = sorted({min(shingle, len(w)) for w, _ in self.windows})
-        self.hashes = {s: np.unique(np.concatenate([hashed(w, s) for w, _ in self.windows if min(shingle, len(w)) == s])) for s in self.sizes}
+    """Windows of some items, with their words numbered from 1 (0: any other word): flat
+    arrays of the windows' words, sizes and owners."""
+
+    def __init__(self, vocab: dict[bytes, int], items: list[tuple[str, np.ndarray]], n: int, shingle: int):
+        self.vocab, self.shingle, self.names = vocab, shingle, [k for k, _ in items]
+        rows, owner, sizes = [], [], []
+        for i, (_, ids) in enumerate(items):
+            size = min(n, len(ids))
+            windows = np.zeros((len(ids) - size + 1, n), np.int32)
+            windows[:, :size] = np.lib.stride_tricks.sliding_window_view(ids, size)
+            rows.append(windows)
+            owner.append(np.full(len(windows), i, np.int32))
+            sizes.append(np.full(len(windows), size, np.int32))
+        every, own = np.concatenate(rows), np.concatenate(owner)
+        del rows, owner
+        self.windows, first, of = np.unique(every, axis=0, return_index=True, return_inverse=True)
+        self.lengths = np.concatenate(sizes)[first]
+        del every
+        pairs = np.unique(np.stack([of.ravel().astype(np.int32), own], axis=1), axis=0)
+        self.owners, self.owner_from = pairs[:, 1].copy(), np.searchsorted(pairs[:, 0], np.arange(len(self.windows) + 1))
+        self.sizes = sorted(set(np.minimum(shingle, np.unique(self.lengths)).tolist()))
+        # the same place in different windows may hold one shingle: it is counted once
+        self.hashes = {s: np.unique(np.concatenate([h.ravel() for _, h in self._shingles(s)])) for s in self.sizes}
+
+    def _shingles(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For windows of each length whose shingles are of that size: the windows, and the
+        hashes of the shingles at each place in them."""
+        for length in np.unique(self.lengths).tolist():
+            if min(self.shingle, length) == size:
+                rows = np.flatnonzero(self.lengths == length)
+                yield rows, np.stack([hashed_rows(self.windows[rows, o : o + size]) for o in range(length - size + 1)], axis=1)
 
     def choose(self, counts: dict[int, np.ndarray]) -> None:
-        """Keep of each window its rarest shingle (ties: the earliest): the prefix."""
-        at: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for k, (w, _) in enumerate(self.windows):
-            s = min(self.shingle, len(w))
-            h = hashed(w, s)
-            o = int(np.argmin(counts[s][np.searchsorted(self.hashes[s], h)]))
-            at.setdefault((s, int(h[o])), []).append((k, o))
+        """Keep of each window its rarest shingle (ties: the earliest): the prefix. By size, its
+        hashes, sorted, with the windows and places in them that each is of."""
         self.prefix = {}
         for s in self.sizes:
-            keys = sorted(h for size, h in at if size == s)
-            self.prefix[s] = (np.array(keys, np.uint64), [at[s, h] for h in keys])
-
-
-def hashed(ids: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit number for each run of size words; equal runs get equal numbers."""
-    m = len(ids) - size + 1
-    out = np.zeros(max(m, 0), np.uint64)
+            found = []
+            for rows, h in self._shingles(s):
+                o = counts[s][np.searchsorted(self.hashes[s], h)].argmin(axis=1)
+                found.append((h[np.arange(len(rows)), o], rows, o))
+            h, rows, o = (np.concatenate([f[k] for f in found]) for k in range(3))
+            order = np.argsort(h, kind="stable")
+            keys, at = np.unique(h[order], return_index=True)
+            self.prefix[s] = (keys, np.append(at, len(order)), rows[order].astype(np.int32), o[order].astype(np.int32))
+        self.hashes = {}  # counted; not to be sent again
+
+    def items_of(self, window: int) -> list[str]:
+        return [self.names[i] for i in self.owners[self.owner_from[window] : self.owner_from[window + 1]].tolist()]
+
+
+def hashed_rows(ids: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each row of words; equal rows get equal numbers."""
+    out = np.zeros(len(ids), np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(size):
-            out = (out ^ ids[j : j + len(out)].astype(np.uint64)) * _MIX
+        for j in range(ids.shape[1]):
+            out = (out ^ ids[:, j].astype(np.uint64)) * _MIX
             out ^= out >> np.uint64(29)
     return out
 
@@ -92,7 +120,7 @@ def run_hashes(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 def numbered(text: bytes, vocab: dict[bytes, int]) -> np.ndarray:
     get = vocab.get
     ws = words(text)
-    return np.fromiter((get(w, 0) for w in ws), np.int64, len(ws))
+    return np.fromiter((get(w, 0) for w in ws), np.int32, len(ws))
 
 
 def _rarity(docs: DataFrame, block, text: str) -> DataFrame:
@@ -113,7 +141,7 @@ def _rarity(docs: DataFrame, block, text: str) -> DataFrame:
                         np.add.at(total[s], place[b.hashes[s][place] == h], 1)
         for s in b.sizes:
             some = np.flatnonzero(total[s])
-            yield {"size": [s] * len(some), "place": some.tolist(), "n": total[s][some].tolist()}
+            yield {"size": np.full(len(some), s, np.int32), "place": some, "n": total[s][some]}
 
     return rows_of(docs, [F.col(text)], "size int, place long, n long", count).groupBy("size", "place").agg(F.sum("n").alias("n"))
 
@@ -123,7 +151,7 @@ def _hits(ids: np.ndarray, b: Block) -> tuple[list[int], set[str]]:
     spans: list[int] = []
     items: set[str] = set()
     for s in b.sizes:
-        keys, entries = b.prefix[s]
+        keys, starts, rows, offsets = b.prefix[s]
         at = known_runs(ids, s)
         if not len(at):
             continue
@@ -132,29 +160,30 @@ def _hits(ids: np.ndarray, b: Block) -> tuple[list[int], set[str]]:
         place[place == len(keys)] = 0
         for i in np.flatnonzero(keys[place] == h):
             p = int(at[i])
-            for k, o in entries[place[i]]:
-                w, owners = b.windows[k]
-                lo = p - o
-                if lo >= 0 and lo + len(w) <= len(ids) and np.array_equal(ids[lo : lo + len(w)], w):
-                    spans += (lo, lo + len(w))
-                    items.update(owners)
+            for k in range(starts[place[i]], starts[place[i] + 1]):
+                size = int(b.lengths[rows[k]])
+                lo = p - int(offsets[k])
+                if lo >= 0 and lo + size <= len(ids) and np.array_equal(ids[lo : lo + size], b.windows[rows[k], :size]):
+                    spans += (lo, lo + size)
+                    items.update(b.items_of(int(rows[k])))
     return spans, items
 
 
 def _blocks(benchmark: DataFrame, key: str, text: str, n: int) -> Iterator[Block]:
-    held: list[tuple[str, list[bytes]]] = []
+    held: list[tuple[str, np.ndarray]] = []
+    vocab: dict[bytes, int] = {}
     size = 0
     rows = benchmark.select(F.col(key).cast("string"), F.col(text)).where(F.col(key).isNotNull() & F.col(text).isNotNull())
     for k, t in rows.toLocalIterator():
         ws = words(t.encode())
+        if held and size + len(ws) > BLOCK_WORDS:
+            yield Block(vocab, held, n, SHINGLE)
+            held, vocab, size = [], {}, 0
         if ws:
-            held.append((k, ws))
+            held.append((k, np.array([vocab.setdefault(w, len(vocab) + 1) for w in ws], np.int32)))
             size += len(ws)
-        if size >= BLOCK_WORDS:
-            yield Block(held, n, SHINGLE)
-            held, size = [], 0
     if held:
-        yield Block(held, n, SHINGLE)
+        yield Block(vocab, held, n, SHINGLE)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -162,14 +191,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str
     ends, in words, of the windows that occur) and items (ids as text, sorted)."""
     spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
-    inner = [c for c in dict.fromkeys([*keep, text])]
-    out = docs.select(*inner).withColumns({"_spans": F.array().cast("array<int>"), "_items": F.array().cast("array<string>"), "_n": F.lit(0).cast("long")})
-    schema = {"_spans": "array<int>", "_items": "array<string>", "_n": "long"}
-    blocks = 0
-    for block in _blocks(benchmark, item, item_text, n):
-        if blocks:
+    none = {"spans": F.array().cast("array<int>"), "items": F.array().cast("array<string>"), "n_words": F.lit(0).cast("long")}
+    out = pack(docs, keep, t=docs[text], **none)
+    schema = {"spans": "array<int>", "items": "array<string>", "n_words": "long"}
+    blocks = _blocks(benchmark, item, item_text, n)
+    block, passed = next(blocks, None), False
+    while block is not None:
+        if passed:
             out = materialise(out)
-        blocks += 1
+        more_to_come = next(blocks, None)
         counts = {s: np.zeros(len(block.hashes[s]), np.int64) for s in block.sizes}
         sent = spark.sparkContext.broadcast(block)
         for r in _rarity(docs, sent, text).toLocalIterator():
@@ -180,18 +210,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str
         def scan(got: dict, held=held) -> dict:
             b = held.value
             made: dict[str, list] = {k: [] for k in schema}
-            for t, spans, items in zip(as_bytes(got["text"]), got["spans"].to_pylist(), got["items"].to_pylist(), strict=True):
+            for t, spans, items in zip(as_bytes(got["t"]), got["spans"].to_pylist(), got["items"].to_pylist(), strict=True):
                 ids = numbered(t, b.vocab)
                 more, owners = _hits(ids, b)
-                made["_spans"].append(spans + more)
-                made["_items"].append(sorted(owners.union(items)))
-                made["_n"].append(len(ids))
+                made["spans"].append(spans + more)
+                made["items"].append(sorted(owners.union(items)))
+                made["n_words"].append(len(ids))
             return made
 
-        out = arrow_map(out, {"text": out[text], "spans": out["_spans"], "items": out["_items"]}, inner, schema, scan)
-    if not blocks:
-        out = arrow_map(out, {"text": out[text]}, [*inner, "_spans", "_items"], {"_n": "long"}, lambda got: {"_n": [len(words(t)) for t in as_bytes(got["text"])]})
-    return out.select(*[out[c] for c in keep if c not in ("n_words", "spans", "items")], F.col("_n").alias("n_words"), F.col("_spans").alias("spans"), F.col("_items").alias("items"))
+        out = arrow_map(out, {c: F.col(c) for c in ("t", "spans", "items")}, ["_doc", "t"] if more_to_come else ["_doc"], schema, scan)
+        block, passed = more_to_come, True
+    if not passed:
+        out = arrow_map(out, {"t": F.col("t")}, ["_doc", "spans", "items"], {"n_words": "long"}, lambda got: {"n_words": [len(words(t)) for t in as_bytes(got["t"])]})
+    return unpack(out, keep, n_words=F.col("n_words"), spans=F.col("spans"), items=F.col("items"))
 
 
 def hit_words(spans) -> F.Column:

@@ -11,8 +11,8 @@ shuffled.
 Boilerplate is removed from all documents but one: the first (by id, then text hash) that
 holds it, so that no text is lost altogether. Documents keep their rows, their other lines and
 their order; a document may be left without text. Documents are joined to their lines by file
-and row in the file, which are the same however a scan is split. Lines that HOT documents or
-more hold are joined in SALTS parts, so that no task gets all of a common line's documents.
+and row in the file, which are the same however a scan is split; the documents of a very
+common line are dealt out to several tasks.
 
 Nulls: a null text stays null and has no lines; a null site is a site of its own. A null id
 comes after all others. Repeated rows each get a row; the copies of the first holder (same
@@ -25,15 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, materialise, place, stable
+from .common import bit_filter, join_counted, materialise, place, stable
 
 MIN_SITES = 5
 LG_K = 12
 MARGIN = 0.1  # six standard errors of a sketch of 2^12 buckets
 
 
-HOT = 100_000
-SALTS = 64
 
 
 def line_hash(line: Column) -> Column:
@@ -66,17 +64,6 @@ def boilerplate(docs: DataFrame, key: str = "doc_id", site: str = "source", text
     return spread.where(sure).select("h", "g", "n", "keeper").unionByName(spread.where(~sure).join(exact, ["h", "g"]).select("h", "g", "n", "keeper"))
 
 
-def _holders(held: DataFrame, flagged: DataFrame) -> DataFrame:
-    """held (with h, at) joined to flagged by h; hot lines by h and a part of their holders."""
-    hot = flagged.where(F.col("n") >= HOT)
-    if hot.isEmpty():
-        return held.join(flagged, "h")
-    is_hot = F.coalesce(bit_filter(hot.select("h"))(F.col("h")), F.lit(False))
-    parts = flagged.where(is_hot).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    some = held.where(is_hot).withColumn("part", F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int")).join(parts, ["h", "part"]).drop("part")
-    return some.unionByName(held.where(~is_hot).join(flagged.where(~is_hot), "h"))
-
-
 def remove_boilerplate(docs: DataFrame, key: str = "doc_id", site: str = "source", text: str = "text", min_sites: int = MIN_SITES) -> DataFrame:
     """Every document with its columns, its text without boilerplate, and _lines, _removed."""
     docs = stable(docs)
@@ -88,7 +75,7 @@ def remove_boilerplate(docs: DataFrame, key: str = "doc_id", site: str = "source
     hashes = F.array_distinct(F.transform(F.split(doc(text), "\n"), line_hash))
     suspect = F.filter(hashes, lambda h: h.isNotNull() & F.coalesce(flag(h), F.lit(False)))
     held = rows.select(F.col("row").alias("at"), doc(key).alias("id"), F.xxhash64(doc(text)).alias("t"), F.explode(suspect).alias("h"))
-    gone = _holders(held, flagged).where(~(F.col("id").eqNullSafe(F.col("keeper.id")) & (F.col("t") == F.col("keeper.t"))))
+    gone = join_counted(held, flagged, "h", "n", F.col("at")).where(~(F.col("id").eqNullSafe(F.col("keeper.id")) & (F.col("t") == F.col("keeper.t"))))
     gone = materialise(gone.groupBy("at").agg(F.collect_list(F.struct("h", "g")).alias("gone")))  # at most the lines of one document
     some = F.coalesce(F.size(suspect) > 0, F.lit(False))
     found = rows.where(some).join(gone.hint("shuffle_hash"), F.col("row") == F.col("at"), "left").select("doc", "gone")

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_bytes, bit_filter, discard, materialise, pack, place, rows_of, spaced, stable, unpack
+from .common import arrow_map, as_bytes, bit_filter, discard, join_counted, materialise, pack, place, rows_of, spaced, stable, unpack
 from .simhash import components, trie_pairs
 
 TABLES = 16
@@ -264,7 +264,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
 
     marked = materialise(arrow_map(rows, {"t": F.col("t")}, ["row", "key"], {"pid": "long", "n": "int", "sketch": "binary"}, work))
     keeper = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("id"), "row")).alias("keeper")
-    points = materialise(marked.groupBy("pid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), keeper))
+    points = materialise(marked.groupBy("pid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), keeper, F.count("*").alias("copies")))
     texts = rows.select("row", "t")
     links = candidate_links(points.where("n > 0").select("pid", "n", "sketch"), similarity)
     verified = _verified(texts, points, links, size, similarity)
@@ -275,14 +275,14 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
         verified = materialise(verified.unionByName(_verified(texts, points, missed, size, similarity)))
         of = materialise(_rooted(points, verified))
     best = of.groupBy("root").agg(F.min("keeper").alias("keeper"))
-    found = of.select("pid", "root").join(best, "root").withColumnRenamed("pid", "point")
-    out = materialise(marked.select("row", "pid").join(found, F.col("pid") == F.col("point")).select("row", "root", "keeper"))
+    found = materialise(of.select("pid", "copies", "root").join(best, "root"))
+    out = materialise(join_counted(marked.select("row", "pid"), found, "pid", "copies", F.col("row")).select("row", "root", "keeper"))
     discard(marked, points, links, pairs, missed)
     return out
 
 
 def _rooted(points: DataFrame, links: DataFrame) -> DataFrame:
-    return points.join(components(links), points.pid == F.col("node"), "left").select("pid", "n", "keeper", F.coalesce("root", "pid").alias("root"))
+    return points.join(components(links), points.pid == F.col("node"), "left").select("pid", "n", "copies", "keeper", F.coalesce("root", "pid").alias("root"))
 
 
 def _not_far(pairs: DataFrame, points: DataFrame) -> DataFrame:

@@ -15,6 +15,9 @@ links, which keeps components. Components come from alternating star contraction
 
 Nulls: a null text has no words and, as every text without words, fingerprint zero. A null
 doc_id never is the smallest of its class unless all are null. Repeated rows each get a row.
+An empty table gives an empty one. Bits that are set in just half the shingles are 0. Columns may have
+any names; kept ones called fp or component_id are replaced. Copies of one text are joined to
+their class in several tasks where there are very many of them.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_bytes, materialise, spaced
+from .common import arrow_map, as_bytes, join_counted, materialise, pack, spaced, unpack
 
 ERRORS = 2
 GROUP_ROWS = 50_000
@@ -202,11 +205,12 @@ def near_duplicates(docs: DataFrame, size: int = 3, key: str = "doc_id", text: s
     """The kept columns of every document, with fp (signed 64 bits) and component_id (the
     smallest key in the class)."""
     keep = [key] if keep is None else keep
-    marked = fingerprints(docs, size, text, keep, "fp")
-    marked = materialise(marked)
-    points = materialise(marked.groupBy("fp").agg(F.min(F.col(key)).alias("rep")))
-    roots = components(trie_links(points.select("fp")))
-    of = points.join(roots, points.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    classes = of.groupBy("root").agg(F.min("rep").alias("component_id"))
-    found = of.join(classes, "root").select("fp", "component_id")
-    return marked.join(found, "fp").select(*[marked[c] for c in keep if c not in ("fp", "component_id")], "fp", "component_id")
+    packed = pack(docs, keep, id=docs[key], t=docs[text])
+    marked = materialise(fingerprints(packed, size, "t", ["_doc", "id"], "fp"))
+    points = materialise(marked.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    roots = components(trie_links(points.select("fp"))).withColumnRenamed("root", "of")
+    rooted = points.join(roots, points.fp == roots.node, "left").select("fp", "rep", "copies", F.coalesce("of", "fp").alias("root"))
+    classes = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    found = materialise(rooted.join(classes, "root").select("fp", "copies", "component_id"))
+    out = join_counted(marked, found, "fp", "copies", F.monotonically_increasing_id())
+    return unpack(out, keep, fp=F.col("fp"), component_id=F.col("component_id"))

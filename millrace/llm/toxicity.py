@@ -1,25 +1,31 @@
-"""Toxicity by two class-conditional Kneser-Ney bigram models.
-
-One model is of texts labelled toxic, one of ordinary ones. Bigrams back off to words, and
-a word's lower-order count is the number of contexts it is seen in; a context here is a
-whole text, so that one text's repetitions are no evidence. Both classes back off to the
-counts of the two together. An expression keeps a count of its own (less DISCOUNT) in a
-class only where the classes differ by more than EVIDENCE standard errors, and by the factor
-FACTOR, from what the level below expects; of any rarer expression the whole count is discounted, so it is as
-likely in either class. A token's evidence is the log ratio of its two probabilities; a
-text's is the mean over its tokens (length-normalised), the mean of its positive part, and
-the highest mean over a window of WINDOW tokens, which a long text does not dilute. A
-logistic curve over these gives the score; it is fitted on texts that the counts it sees
-have not seen (two halves, crosswise).
+"""Toxicity by two class-conditional Kneser-Ney models.
+
+One model is of texts labelled toxic, one of ordinary ones. A word's probability after the word
+before it is interpolated: the bigram's count of texts less PAIRS, and the rest of the mass from the
+word's lower-order probability. There a word counts once for each different word that it
+follows (its continuations), less DISCOUNT, and backs off to its first letters (PREFIXES bytes,
+longer ones first), which count the continuations of all words that begin so. Within what a
+level backs off to, an expression has its share of the counts of both classes together, and so
+has the last level as a whole: so an expression that the classes have too rarely to tell is
+as likely in either, and an unseen word is judged by words that begin like it.
+
+A token's evidence is the log ratio of its toxic and its ordinary probability. A text's is the
+mean over its tokens (the two log-likelihoods, length-normalised and compared), and the sum of
+what its different words have above EVIDENT, in logs and set against the length, which a long
+text doesn't dilute. A logistic curve over these gives the score; it is fitted on texts that the
+counts it sees have not seen (two halves, crosswise).
 
 Fitted on a sample of labelled rows: of each class the SAMPLE_ROWS rows whose id has the
-smallest hash, a bound however many there are, less near copies of others; at most MODEL_ENTRIES words and as many
-bigrams are kept, so the model has a size bound. Only words of the text are inputs. Every
-text is scored whole.
+smallest hash, a bound however many there are, less near copies of others (a bigram counts once
+a text). Expressions that a class has no oftener than the discount have no mass of their own, so the
+model holds the others, and none of them is cut. Only words of the text are
+inputs. Every text is scored whole.
 
 Nulls: a null text is an empty text; rows with a null label or id teach nothing, and a
 null id counts as the empty text for the fold. A text without words has no evidence. If a
-class has no labelled text, the score is the share of toxic rows (0 if none).
+class has no labelled text, the score is the share of toxic rows (0 if none). Repeated rows
+each get a row; of rows with one id one teaches, with the higher label. An empty table gives an
+empty one. Columns may have any names; a kept one with the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -27,10 +33,11 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,49 +45,60 @@ from .common import arrow_map, as_bytes, id_hash, letter_words, materialise, row
 from .near_dedup import shingles, sketch
 
 SAMPLE_ROWS = 4_000
-MODEL_ENTRIES = 100_000
-DISCOUNT = 0.75
-EVIDENCE = 4.0
-FACTOR = 4.0
-WINDOW = 12
+DISCOUNT = 1
+PAIRS = 3  # the discount of bigrams: near copies of a text may give it that often
+EVIDENT = 4.0
+PREFIXES = (6, 4)
 COPY_BITS = 96  # of 384 that two texts' sketches may differ in and still be copies
 FLUSH = 60_000
-WORD = b"\n"
 
 
 @dataclass
 class Model:
-    vocab: dict[bytes, int] = field(default_factory=dict)
-    unigram: np.ndarray | None = None  # 2 x (V+1): P_c(w), place 0 for unknown words
-    backoff: np.ndarray | None = None  # 2 x (V+1): the weight of P_c(w) after v
-    keys: np.ndarray | None = None  # v*(V+1)+w, sorted
+    place: dict[bytes, int] = field(default_factory=dict)  # of a word
+    begins: list[dict[bytes, int]] = field(default_factory=list)  # places by first letters, longest first
+    word: np.ndarray | None = None  # 2 x places: P_c(w), or what an unseen word with those letters gets
+    backoff: np.ndarray | None = None  # 2 x places: the weight of P_c(w) after v
+    keys: np.ndarray | None = None  # place of v * places + place of w, sorted
     bigram: np.ndarray | None = None  # 2 x keys: the discounted part
     weights: np.ndarray | None = None
     prior: float = 0.0
 
+    def places(self, ws: list[bytes]) -> np.ndarray:
+        at = np.fromiter(map(self.place.get, ws, [0] * len(ws)), np.int64, len(ws))
+        for i in np.flatnonzero(at == 0).tolist():
+            for size, known in zip(PREFIXES, self.begins, strict=True):
+                found = known.get(ws[i][:size])
+                if found:
+                    at[i] = found
+                    break
+        return at
+
     def evidence(self, text: bytes) -> np.ndarray:
-        get, ws = self.vocab.get, letter_words(text)
-        w = np.fromiter((get(x, 0) for x in ws), np.int64, len(ws))
-        if not len(w):
+        ws = letter_words(text)
+        if not ws:
             return np.zeros(0)
+        w = self.places(ws)
         v = np.concatenate([[0], w[:-1]])
-        p = self.backoff[:, v] * self.unigram[:, w]
+        p = self.backoff[:, v] * self.word[:, w]
         if len(self.keys):
-            k = v * len(self.backoff[0]) + w
+            k = v * len(self.word[0]) + w
             at = np.searchsorted(self.keys, k)
             at[at == len(self.keys)] = 0
             some = np.flatnonzero(self.keys[at] == k)
             p[:, some] += self.bigram[:, at[some]]
         return np.log(p[1] / p[0])
 
-    def features(self, text: bytes) -> tuple[float, float, float, float]:
+    def features(self, text: bytes) -> list[float]:
         e = self.evidence(text)
         n = len(e)
         if not n:
-            return 0.0, 0.0, 0.0, 0.0
-        total = np.concatenate([[0.0], np.cumsum(e)])
-        width = min(WINDOW, n)
-        return float(total[-1] / n), float((total[width:] - total[:-width]).max() / WINDOW), float(np.maximum(e, 0).mean()), float(np.log1p(n))
+            return [0.0] * 4
+        ws, best = letter_words(text), {}
+        for i in np.flatnonzero(e > EVIDENT).tolist():
+            best[ws[i]] = max(best.get(ws[i], 0.0), float(e[i]) - EVIDENT)
+        found = sum(best.values())
+        return [float(e.mean()), float(np.log1p(found)), float(np.log1p(n)), found / n]
 
     def score(self, text: bytes) -> float:
         if self.weights is None:
@@ -121,16 +139,19 @@ def _without_copies(texts: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(kept), "k").dropDuplicates(["k"])
 
 
+#: The counts of one model each: of both halves, and of each half, by class.
+MODELS = ("", "0", "1")
+
+
 def _counts(texts: DataFrame) -> DataFrame:
-    """v, w, n00, n01, n10, n11: how many texts of a half and class hold each bigram (v empty
-    at a text's start) and, with v a line feed, each word."""
+    """v, w, and by half and class (n00, n01, n10, n11) how many texts hold each bigram; v is
+    empty at a text's start."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held: Counter = Counter()
         for batch in batches:
             for half, c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
-                ws = letter_words(t)
-                held.update((2 * half + c, v, w) for v, w in {*zip([b"", *ws[:-1]], ws), *((WORD, w) for w in ws)})
+                held.update((2 * half + c, v, w) for v, w in set(pairwise([b"", *letter_words(t)])))
                 if len(held) >= FLUSH:
                     yield flat(held)
                     held.clear()
@@ -143,56 +164,113 @@ def _counts(texts: DataFrame) -> DataFrame:
     return found.groupBy("v", "w").agg(*[F.sum(n).alias(n) for n in ("n00", "n01", "n10", "n11")])
 
 
-def _differ(n0, n1, share1):
-    """Whether n1 of n0 + n1 is further from its expected share than chance explains, and
-    the classes' rates are FACTOR apart (a language or subject that one class has more of
-    moves the rates of all its common words, but by less)."""
-    e = (n0 + n1) * share1
-    own, other = n1 * (1 - share1), n0 * share1
-    return (F.abs(n1 - e) > EVIDENCE * F.sqrt(e) + 1) & ((own >= FACTOR * other) | (other >= FACTOR * own))
-
-
-def _build(counts: DataFrame) -> Model | None:
-    """counts: v, w, n0, n1. Only entries that tell the classes apart come to the driver."""
-    word = F.col("v") == F.lit(WORD)
-    words, pairs = counts.where(word).select("w", "n0", "n1"), counts.where(~word)
-    s = np.array(words.agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first(), float)
-    if not s.all():
-        return None
-    most = F.desc(F.col("n0") + F.col("n1"))
-    top = words.where(_differ(F.col("n0"), F.col("n1"), float(s[1] / s.sum()))).orderBy(most, "w").limit(MODEL_ENTRIES).collect()
-    own = {bytes(r["w"]): np.maximum(np.array([r["n0"], r["n1"]]) - DISCOUNT, 0) / s for r in top}
-    shared = {bytes(r["w"]): (r["n0"] + r["n1"]) / s.sum() for r in top}
-    left = 1 - sum(own.values(), np.zeros(2))
-    # what a bigram's words alone make one expect, for the words that have counts of their own
-    spark = counts.sparkSession
-    expected = spark.createDataFrame([(bytearray(w), float(s[1] * p[1] / (s * p).sum())) for w, p in ((w, own[w] + left * shared[w]) for w in own)] or [(bytearray(b""), 0.5)], "w binary, share double")
-    base = float(s[1] * left[1] / (s * left).sum())
-    told = pairs.join(F.broadcast(expected), "w", "left").withColumn("share", F.coalesce("share", F.lit(base)))
-    kept = told.where(_differ(F.col("n0"), F.col("n1"), F.col("share"))).orderBy(most, "v", "w").limit(MODEL_ENTRIES).select("v", "w", "n0", "n1").collect()
-    heads, tails = sorted({bytes(r["v"]) for r in kept}), sorted({bytes(r["w"]) for r in kept} - own.keys())
-    key = lambda ws: spark.createDataFrame([(bytearray(w),) for w in ws] or [(bytearray(WORD),)], "x binary")
-    after = {bytes(r["x"]): np.array([r["n0"], r["n1"]], float) for r in pairs.join(F.broadcast(key(heads)), F.col("v") == F.col("x")).groupBy("x").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()}
-    for r in words.join(F.broadcast(key(tails)), F.col("w") == F.col("x")).collect():
-        shared[bytes(r["x"])] = (r["n0"] + r["n1"]) / s.sum()
-    model = Model(vocab={w: i + 1 for i, w in enumerate(sorted({*shared, *heads} - {b""}))})
-    n = len(model.vocab) + 1
-    model.unigram, model.backoff = np.repeat(left[:, None], n, axis=1), np.ones((2, n))
-    for w, p in shared.items():
-        model.unigram[:, model.vocab[w]] = own.get(w, 0) + left * p
-    entries = []
-    for r in kept:
-        v, w = bytes(r["v"]), bytes(r["w"])
-        p = np.where(after[v] > 0, np.maximum(np.array([r["n0"], r["n1"]]) - DISCOUNT, 0) / np.maximum(after[v], 1), 0)
-        at = model.vocab.get(v, 0)
-        if at:  # the start of a text has no context of its own
-            model.backoff[:, at] -= p
-            entries.append((at * n + model.vocab[w], p))
-    model.backoff = np.maximum(model.backoff, 1e-3)
-    entries.sort(key=lambda e: e[0])
-    model.keys = np.array([k for k, _ in entries], np.int64)
-    model.bigram = np.array([p for _, p in entries], float).reshape(-1, 2).T
-    return model
+def _by_model(c: int, half: str) -> Column:
+    return F.col(f"n{half}{c}") if half else F.col(f"n0{c}") + F.col(f"n1{c}")
+
+
+_COLUMNS = [f"m{half}_{c}" for half in MODELS for c in (0, 1)]
+
+
+def _held(rows: DataFrame, discount: int) -> DataFrame:
+    """Rows that some model has oftener than the discount in a class, and so holds."""
+    some = F.lit(False)
+    for c in _COLUMNS:
+        some = some | (F.col(c) > discount)
+    return rows.where(some)
+
+
+def _levels(counts: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """By word and by first letters: x, continuations for each model and class. By bigram: v, w,
+    counts. By first word: x, sum of counts and of discounted counts."""
+    texts = [_by_model(c, half).alias(f"m{half}_{c}") for half in MODELS for c in (0, 1)]
+    pairs = counts.select("v", "w", *texts)
+    once = pairs.select("w", *[(F.col(c) > 0).cast("long").alias(c) for c in _COLUMNS])
+    words = materialise(once.groupBy(F.col("w").alias("x")).agg(*[F.sum(c).alias(c) for c in _COLUMNS]))
+    begins = [words.groupBy(F.substring("x", 1, k).alias("x")).agg(*[F.sum(c).alias(c) for c in _COLUMNS]) for k in PREFIXES]
+    less = [F.sum(F.greatest(F.col(c) - PAIRS, F.lit(0))).alias(f"d{c}") for c in _COLUMNS]
+    firsts = pairs.where(F.length("v") > 0).groupBy(F.col("v").alias("x")).agg(*[F.sum(c).alias(c) for c in _COLUMNS], *less)
+    return [words, *map(materialise, begins)], pairs, firsts
+
+
+class Levels:
+    """What all models need, gathered once: expressions that some model holds."""
+
+    def __init__(self, counts: DataFrame):
+        levels, pairs, firsts = _levels(counts)
+        self.sums, self.names, self.counts = [], [], []
+        for level in levels:
+            total = level.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _COLUMNS], *[F.coalesce(F.sum(F.greatest(F.col(c) - DISCOUNT, F.lit(0))), F.lit(0)).alias(f"d{c}") for c in _COLUMNS]).first()
+            self.sums.append({c: (float(total[c]), float(total[f"d{c}"])) for c in _COLUMNS})
+            held = _held(level, DISCOUNT).orderBy("x").toArrow()
+            self.names.append([bytes(x) for x in held.column("x").to_pylist()])
+            self.counts.append({c: held.column(c).to_numpy().astype(float) for c in _COLUMNS})
+        heads = firsts.where(sum((F.col(f"d{c}") for c in _COLUMNS), F.lit(0)) > 0).toArrow()
+        self.heads = [bytes(x) for x in heads.column("x").to_pylist()]
+        self.head_counts = {c: heads.column(c).to_numpy().astype(float) for c in (*_COLUMNS, *(f"d{c}" for c in _COLUMNS))}
+        kept = _held(pairs.where(F.length("v") > 0), PAIRS).toArrow()
+        self.pairs = ([bytes(x) for x in kept.column("v").to_pylist()], [bytes(x) for x in kept.column("w").to_pylist()])
+        self.pair_counts = {c: kept.column(c).to_numpy().astype(float) for c in _COLUMNS}
+
+    def model(self, half: str) -> Model | None:
+        columns = [f"m{half}_{c}" for c in (0, 1)]
+        if not all(self.sums[0][c][0] for c in columns):
+            return None
+        made = Model()
+        at, blocks = 1, []
+        below, total = None, sum(self.sums[-1][c][0] for c in columns)
+        # from the fewest letters up to whole words; place 0 is an expression that no level knows
+        for level in range(len(self.names) - 1, -1, -1):
+            names, counts = self.names[level], np.array([self.counts[level][c] for c in columns])
+            n = counts.sum(0)
+            if below is None:
+                lower = np.tile(np.maximum(n, 1) / total, (2, 1))
+            else:
+                known, p, weight, size = below
+                place = np.array([known.get(x[: PREFIXES[level]], 0) for x in names], np.int64)
+                # what this model hasn't seen gets its first letters' probability, but for a factor
+                # that is the same for both classes
+                share = np.where(n > 0, n / np.maximum(size[place], 1), 1.0)
+                lower = np.where(place > 0, p[:, place], weight[:, None]) * share
+            free = np.array([1 - self.sums[level][c][1] / self.sums[level][c][0] for c in columns])
+            own = np.array([np.maximum(counts[c] - DISCOUNT, 0) / self.sums[level][columns[c]][0] for c in (0, 1)])
+            p = own + free[:, None] * lower
+            places = dict(zip(names, range(1, len(names) + 1), strict=True))
+            rest = free * (below[2] if below else 1.0)
+            below = (places, np.concatenate([rest[:, None], p], axis=1), rest, np.concatenate([[0.0], n]))
+            blocks.append((names, p, free))
+        # an unseen word with known first letters: the mass that levels above leave to them
+        words, p, free = blocks[-1]
+        made.place = dict(zip(words, range(at, at + len(words)), strict=True))
+        table = [below[2][:, None], p]
+        at += len(words)
+        weight = free
+        for names, p, free in blocks[-2::-1]:
+            made.begins.append(dict(zip(names, range(at, at + len(names)), strict=True)))
+            table.append(p * weight[:, None])
+            at += len(names)
+            weight = weight * free
+        made.word = np.maximum(np.concatenate(table, axis=1), 1e-300)
+        self._bigrams(made, columns)
+        return made
+
+    def _bigrams(self, made: Model, columns: list[str]) -> None:
+        n = made.word.shape[1]
+        made.backoff = np.ones((2, n))
+        of = {x: i for i, x in enumerate(self.heads)}
+        sums = np.array([self.head_counts[c] for c in columns])
+        less = np.array([self.head_counts[f"d{c}"] for c in columns])
+        free = np.where(sums > 0, 1 - less / np.maximum(sums, 1), 1.0)
+        for x, i in of.items():
+            if at := made.place.get(x):
+                made.backoff[:, at] = free[:, i]
+        v = np.array([made.place.get(x, 0) for x in self.pairs[0]], np.int64)
+        w = np.array([made.place.get(x, 0) for x in self.pairs[1]], np.int64)
+        head = np.array([of.get(x, 0) for x in self.pairs[0]], np.int64)
+        counts = np.array([self.pair_counts[c] for c in columns]).reshape(2, -1)
+        p = np.maximum(counts - PAIRS, 0) / np.maximum(sums[:, head], 1) if len(head) else counts
+        kept = np.flatnonzero((v > 0) & (w > 0) & (p.sum(0) > 0)) if len(head) else np.zeros(0, np.int64)
+        order = kept[np.argsort(v[kept] * n + w[kept])]
+        made.keys, made.bigram = v[order] * n + w[order], p[:, order]
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", learn=lambda k: F.lit(True)) -> Model:
@@ -201,14 +279,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     model = Model(prior=sizes.get(1, 0) / max(1, sum(sizes.values())))
     if len(sizes) < 2:
         return model
-    counts = materialise(_counts(sample))
-    n = lambda c: (F.col(f"n0{c}") + F.col(f"n1{c}")).alias(f"n{c}")
-    whole = _build(counts.select("v", "w", n(0), n(1)))
-    halves = [_build(counts.select("v", "w", F.col(f"n{h}0").alias("n0"), F.col(f"n{h}1").alias("n1"))) for h in (0, 1)]
+    levels = Levels(materialise(_counts(sample)))
+    whole, *halves = [levels.model(half) for half in MODELS]
     if whole is None or None in halves:
         return model
     sent = docs.sparkSession.sparkContext.broadcast(halves)
-    crosswise = arrow_map(sample, {"t": F.col("t"), "half": F.col("half")}, ["c"], {"f": "array<double>"}, lambda got: {"f": [list(sent.value[1 - h].features(x)) for h, x in zip(got["half"].to_pylist(), as_bytes(got["t"]), strict=True)]})
+    crosswise = arrow_map(sample, {"t": F.col("t"), "half": F.col("half")}, ["c"], {"f": "array<double>"}, lambda got: {"f": [sent.value[1 - h].features(x) for h, x in zip(got["half"].to_pylist(), as_bytes(got["t"]), strict=True)]})
     rows = crosswise.collect()  # at most 2 * SAMPLE_ROWS labelled ids, four numbers each
     y = np.array([r["c"] for r in rows], float)
     if len(set(y)) < 2:
