@@ -37,9 +37,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that are on many sites (one document keeps each)."""
-    clean = line_dedup.remove_boilerplate(docs)
-    size = F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    return clean.select(*[size.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    rest = [c for c in docs.columns if c != "text"]
+    clean = line_dedup.remove_boilerplate(pack(docs, rest, doc_id=docs["doc_id"], source=docs["source"], text=docs["text"]))
+    made = {"text": F.col("text")}
+    if "n_chars" in rest:
+        size = F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col("_doc")["n_chars"])
+        made["n_chars"] = size.cast(docs.schema["n_chars"].dataType)
+    return unpack(clean, rest, **made).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
