@@ -329,7 +329,7 @@ for _method, _key in (("fingerprint", _FINGER), ("ngram", _NGRAM)):
 
 @query("""
 WITH RECURSIVE v AS (SELECT p_name AS value, count(*) AS n, min(p_partkey) AS f FROM part GROUP BY 1),
-o AS (SELECT *, row_number() OVER (ORDER BY f) AS i FROM v),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY f) AS i FROM v),
 g(i, leaders) AS (
   SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(f BIGINT, s VARCHAR)[])
   UNION ALL
@@ -368,25 +368,26 @@ def _fuzzy(survivorship: str):
     return run
 
 
-#: The greedy rule, row after row: the list of rows that are gone grows along the recursion.
+#: The greedy rule, row after row, with a bit for each row that is gone (the tables that SQL is held against have up to BITS rows).
+BITS = 2_048
 _SETTLE = """
-WITH RECURSIVE t AS (SELECT p_partkey, p_name, {container} AS p_brand, lower(p_name) AS s, CAST({blanks} AS INT) AS blanks, row_number() OVER (ORDER BY p_partkey) AS i FROM part),
-k AS (SELECT s, min(i) AS f FROM t GROUP BY s),
+WITH RECURSIVE t AS (SELECT p_partkey, p_name, {brand} AS brand, lower(p_name) AS s, CAST({blanks} AS INT) AS blanks, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part),
+k AS (SELECT DISTINCT s FROM t),
 p AS (SELECT a.s AS a, b.s AS b FROM k a JOIN k b ON substr(a.s, 1, 1) = substr(b.s, 1, 1) AND (a.s = b.s OR jaro_winkler_similarity(a.s, b.s) >= 0.85)),
-m AS (SELECT a.i, list(b.i ORDER BY b.i) AS later, list({swap} ORDER BY b.i) AS swaps FROM t a JOIN p ON a.s = p.a JOIN t b ON b.s = p.b AND b.i > a.i GROUP BY a.i),
-n AS (SELECT t.i, coalesce(later, []) AS later, coalesce(swaps, []) AS swaps FROM t LEFT JOIN m USING (i)),
+m AS (SELECT a.i, bitstring_agg(b.i, 0, {last}) AS later, bitstring_agg(CASE WHEN {swap} THEN b.i END, 0, {last}) AS swaps FROM t a JOIN p ON a.s = p.a JOIN t b ON b.s = p.b AND b.i > a.i GROUP BY a.i),
+n AS MATERIALIZED (SELECT t.i, coalesce(later, CAST(repeat('0', {bits}) AS BIT)) AS later, coalesce(swaps, CAST(repeat('0', {bits}) AS BIT)) AS swaps FROM t LEFT JOIN m USING (i)),
 g(i, gone) AS (
-  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  SELECT CAST(-1 AS BIGINT), CAST(repeat('0', {bits}) AS BIT)
   UNION ALL
-  SELECT n.i, CASE WHEN list_contains(gone, n.i) THEN gone ELSE (
-    SELECT CASE WHEN x.swap IS NULL THEN list_concat(gone, x.free) ELSE list_append(list_concat(gone, list_filter(x.free, lambda f: f < x.swap)), n.i) END
-    FROM (SELECT list_filter(n.later, lambda j: NOT list_contains(gone, j)) AS free, list_min(list_filter(n.later, lambda j, pos: NOT list_contains(gone, j) AND n.swaps[pos])) AS swap) x) END
+  SELECT n.i, CASE WHEN get_bit(gone, CAST(n.i AS INT)) = 1 THEN gone
+    WHEN bit_position('1', n.swaps & ~gone) = 0 THEN gone | n.later
+    ELSE gone | (n.later & CAST(repeat('1', bit_position('1', n.swaps & ~gone) - 1) || repeat('0', {bits} + 1 - bit_position('1', n.swaps & ~gone)) AS BIT)) | CAST(repeat('0', n.i) || '1' || repeat('0', {last} - n.i) AS BIT) END
   FROM g JOIN n ON n.i = g.i + 1)
-SELECT p_partkey, p_name, p_brand FROM t WHERE NOT list_contains((SELECT gone FROM g ORDER BY i DESC LIMIT 1), i)"""
+SELECT p_partkey, p_name, brand AS p_brand FROM t WHERE get_bit((SELECT gone FROM g ORDER BY i DESC LIMIT 1), CAST(i AS INT)) = 0"""
 for _s, _swap in (("first", "false"), ("longest", "length(b.s) > length(a.s)"), ("mostComplete", "b.blanks < a.blanks")):
     _some = _s == "mostComplete"
     QUERIES[f"fuzzy_dedupe_{_s}"] = _fuzzy(_s)
-    ORACLES[f"fuzzy_dedupe_{_s}"] = _SETTLE.format(swap=_swap, container="CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END" if _some else "p_brand", blanks="CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END" if _some else "0")
+    ORACLES[f"fuzzy_dedupe_{_s}"] = _SETTLE.format(bits=BITS, last=BITS - 1, swap=_swap, brand="CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END" if _some else "p_brand", blanks="CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END" if _some else "0")
 
 # -- analysis ------------------------------------------------------------------------------------------------
 
