@@ -1,9 +1,7 @@
-"""What the operators of this subpackage share: tables in the shared folder, words, scans."""
+"""What the operators of this subpackage share: rows' places, joins, words, scans."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,40 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is
-    unset and Spark runs on one machine (as in tests), a temporary folder that is then set."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not known:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        known = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known
-
-
-#: Whether the shuffle files of a finished query go at once (Spark 4.1).
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage,
-    survives lost executors. The folder goes when the application ends; what the write shuffled
-    goes as soon as it is done, as nothing else can use it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+from ..plans.scratch import materialise
 
 
 def _scans_a_file(df: DataFrame) -> bool:
@@ -95,8 +60,10 @@ def pack(docs: DataFrame, keep: list[str], **more: Column) -> DataFrame:
 
 
 def unpack(packed: DataFrame, keep: list[str], **made: Column) -> DataFrame:
-    """The kept columns again, and the made ones, which replace kept ones of their names."""
-    return packed.select(*[F.col("_doc")[c].alias(c) for c in keep if c not in made], *[c.alias(n) for n, c in made.items()])
+    """The kept columns again, and the made ones, which replace kept ones of their names. (Made
+    ones are computed first: inside of a lambda a name would mean a kept column beside it.)"""
+    first = packed.select("_doc", *[c.alias(f"_m{i}") for i, c in enumerate(made.values())])
+    return first.select(*[F.col("_doc")[c].alias(c) for c in keep if c not in made], *[F.col(f"_m{i}").alias(n) for i, n in enumerate(made)])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

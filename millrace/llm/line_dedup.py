@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, join_counted, materialise, place, stable
+from .common import bit_filter, join_counted, materialise, place, stable, unpack
 
 MIN_SITES = 5
 LG_K = 12
@@ -68,8 +68,8 @@ def remove_boilerplate(docs: DataFrame, key: str = "doc_id", site: str = "source
     """Every document with its columns, its text without boilerplate, and _lines, _removed."""
     docs = stable(docs)
     flagged = materialise(boilerplate(docs, key, site, text, min_sites))
-    doc = lambda c: F.col("doc")[c]
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), place().alias("row"))
+    doc = lambda c: F.col("_doc")[c]
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), place().alias("row"))
     # most documents hold no flagged line: a bit for each hash tells, and spares them the join
     flag = bit_filter(flagged.select("h"))
     hashes = F.array_distinct(F.transform(F.split(doc(text), "\n"), line_hash))
@@ -78,10 +78,11 @@ def remove_boilerplate(docs: DataFrame, key: str = "doc_id", site: str = "source
     gone = join_counted(held, flagged, "h", "n", F.col("at")).where(~(F.col("id").eqNullSafe(F.col("keeper.id")) & (F.col("t") == F.col("keeper.t"))))
     gone = materialise(gone.groupBy("at").agg(F.collect_list(F.struct("h", "g")).alias("gone")))  # at most the lines of one document
     some = F.coalesce(F.size(suspect) > 0, F.lit(False))
-    found = rows.where(some).join(gone.hint("shuffle_hash"), F.col("row") == F.col("at"), "left").select("doc", "gone")
-    out = found.unionByName(rows.where(~some).select("doc", F.lit(None).cast(gone.schema["gone"].dataType).alias("gone")))
+    found = rows.where(some).join(gone.hint("shuffle_hash"), F.col("row") == F.col("at"), "left").select("_doc", "gone")
+    out = found.unionByName(rows.where(~some).select("_doc", F.lit(None).cast(gone.schema["gone"].dataType).alias("gone")))
     lines = F.split(doc(text), "\n")
     kept = F.filter(lines, lambda x: ~F.exists("gone", lambda b: F.coalesce((b["h"] == line_hash(x)) & (b["g"] == second_hash(x)), F.lit(False))))
     new = F.when(F.col("gone").isNull(), doc(text)).otherwise(F.array_join(kept, "\n"))
     made = {"_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "_removed": F.when(F.col("gone").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long")}
-    return out.select(*[(new if c == text else doc(c)).alias(c) for c in docs.columns if c not in made], *[x.alias(n) for n, x in made.items()])
+    order = [c for c in docs.columns if c not in made]
+    return unpack(out, order, **made, **{text: new}).select(*[F.col(f"`{c}`") for c in (*order, *made)])
