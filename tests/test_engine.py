@@ -384,6 +384,20 @@ def test_without_training_data_operators():
             assert not re.search(r"\bllm\b", p.read_text())
 
 
+def test_the_rest_works_alone(tmp_path):
+    """With the training-data operators and their pipeline gone, all else is there."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "millrace", tmp_path / "millrace", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) == set(e.queries()) and len(e.queries()) > 90; assert not any(k.startswith('op') or k == 'pipeline' for k in e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
 def test_files_keep_their_order_however_they_are_split(spark, tmp_path):
     data = [[str(i), "x" * (i % 50)] for i in range(4000)]
     t = rows(spark, ["n", "x"], data)
