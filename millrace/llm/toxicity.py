@@ -11,8 +11,9 @@ as likely in either, and an unseen word is judged by words that begin like it.
 
 A token's evidence is the log ratio of its toxic and its ordinary probability. A text's is the
 mean over its tokens (the two log-likelihoods, length-normalised and compared), and the sum of
-what its different words have above EVIDENT, in logs and set against the length, which a long
-text doesn't dilute. A logistic curve over these gives the score; it is fitted on texts that the
+what its different words have above EVIDENT by their continuations alone, in logs and set against
+the length, which a long text doesn't dilute. (A passage that some texts share gives its words one
+continuation, however many the texts; their bigrams would make strong evidence of it.) A logistic curve over these gives the score; it is fitted on texts that the
 counts it sees have not seen (two halves, crosswise).
 
 Fitted on a sample of labelled rows: of each class the SAMPLE_ROWS rows whose id has the
@@ -47,7 +48,7 @@ from .near_dedup import shingles, sketch
 SAMPLE_ROWS = 4_000
 DISCOUNT = 1
 PAIRS = 3  # the discount of bigrams: near copies of a text may give it that often
-EVIDENT = 4.0
+EVIDENT = 5.0
 PREFIXES = (6, 4)
 COPY_BITS = 96  # of 384 that two texts' sketches may differ in and still be copies
 FLUSH = 60_000
@@ -74,30 +75,27 @@ class Model:
                     break
         return at
 
-    def evidence(self, text: bytes) -> np.ndarray:
-        ws = letter_words(text)
-        if not ws:
-            return np.zeros(0)
+    def evidence(self, ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each token after the one before it, and of each by its continuations alone."""
         w = self.places(ws)
         v = np.concatenate([[0], w[:-1]])
-        p = self.backoff[:, v] * self.word[:, w]
+        lower = self.word[:, w]
+        p = self.backoff[:, v] * lower
         if len(self.keys):
             k = v * len(self.word[0]) + w
             at = np.searchsorted(self.keys, k)
             at[at == len(self.keys)] = 0
             some = np.flatnonzero(self.keys[at] == k)
             p[:, some] += self.bigram[:, at[some]]
-        return np.log(p[1] / p[0])
+        return np.log(p[1] / p[0]), np.log(lower[1] / lower[0])
 
     def features(self, text: bytes) -> list[float]:
-        e = self.evidence(text)
-        n = len(e)
+        ws = letter_words(text)
+        n = len(ws)
         if not n:
             return [0.0] * 4
-        ws, best = letter_words(text), {}
-        for i in np.flatnonzero(e > EVIDENT).tolist():
-            best[ws[i]] = max(best.get(ws[i], 0.0), float(e[i]) - EVIDENT)
-        found = sum(best.values())
+        e, lower = self.evidence(ws)
+        found = sum({ws[i]: float(lower[i]) - EVIDENT for i in np.flatnonzero(lower > EVIDENT).tolist()}.values())
         return [float(e.mean()), float(np.log1p(found)), float(np.log1p(n)), found / n]
 
     def score(self, text: bytes) -> float:
