@@ -11,10 +11,12 @@ as likely in either, and an unseen word is judged by words that begin like it.
 
 A token's evidence is the log ratio of its toxic and its ordinary probability. A text's is the
 mean over its tokens (the two log-likelihoods, length-normalised and compared), and the sum of
-what its different words have above EVIDENT by their continuations alone, in logs and set against
-the length, which a long text doesn't dilute. (A passage that some texts share gives its words one
-continuation, however many the texts; their bigrams would make strong evidence of it.) A logistic curve over these gives the score; it is fitted on texts that the
-counts it sees have not seen (two halves, crosswise).
+what its different words have above a bound, in logs and set against the length, which a long
+text doesn't dilute. That sum is over evidence by continuations alone (a passage that some texts
+share gives its words one continuation, however many the texts, while its bigrams look strong)
+or over that after the word before (for expressions that always follow one word). A logistic curve over these gives the score; it is fitted on texts that the
+counts it sees have not seen (two halves, crosswise), and so are the bound, one of EVIDENT, and
+the kind of sum: those with the likeliest labels.
 
 Fitted on a sample of labelled rows: of each class the SAMPLE_ROWS rows whose id has the
 smallest hash, a bound however many there are, less near copies of others (a bigram counts once
@@ -48,7 +50,7 @@ from .near_dedup import shingles, sketch
 SAMPLE_ROWS = 4_000
 DISCOUNT = 1
 PAIRS = 3  # the discount of bigrams: near copies of a text may give it that often
-EVIDENT = 5.0
+EVIDENT = (3.0, 4.0, 5.0, 6.0)
 PREFIXES = (6, 4)
 COPY_BITS = 96  # of 384 that two texts' sketches may differ in and still be copies
 FLUSH = 60_000
@@ -63,6 +65,7 @@ class Model:
     keys: np.ndarray | None = None  # place of v * places + place of w, sorted
     bigram: np.ndarray | None = None  # 2 x keys: the discounted part
     weights: np.ndarray | None = None
+    evident: int = 0  # which of EVIDENT, by continuations and then after the word before
     prior: float = 0.0
 
     def places(self, ws: list[bytes]) -> np.ndarray:
@@ -93,15 +96,21 @@ class Model:
         ws = letter_words(text)
         n = len(ws)
         if not n:
-            return [0.0] * 4
+            return [0.0] * (2 + 4 * len(EVIDENT))
         e, lower = self.evidence(ws)
-        found = sum({ws[i]: float(lower[i]) - EVIDENT for i in np.flatnonzero(lower > EVIDENT).tolist()}.values())
-        return [float(e.mean()), float(np.log1p(found)), float(np.log1p(n)), found / n]
+        out = [float(e.mean()), float(np.log1p(n))]
+        for each in (lower, e):
+            strong = {ws[i]: float(each[i]) for i in np.flatnonzero(each > EVIDENT[0]).tolist()}
+            for least in EVIDENT:
+                found = sum(x - least for x in strong.values() if x > least)
+                out += (float(np.log1p(found)), found / n)
+        return out
 
     def score(self, text: bytes) -> float:
         if self.weights is None:
             return self.prior
-        x = np.array([1.0, *self.features(text)])
+        f = self.features(text)
+        x = np.array([1.0, *f[:2], *f[2 + 2 * self.evident : 4 + 2 * self.evident]])
         return float(1 / (1 + np.exp(-np.clip(x @ self.weights, -40, 40))))
 
 
@@ -283,14 +292,22 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return model
     sent = docs.sparkSession.sparkContext.broadcast(halves)
     crosswise = arrow_map(sample, {"t": F.col("t"), "half": F.col("half")}, ["c"], {"f": "array<double>"}, lambda got: {"f": [sent.value[1 - h].features(x) for h, x in zip(got["half"].to_pylist(), as_bytes(got["t"]), strict=True)]})
-    rows = crosswise.collect()  # at most 2 * SAMPLE_ROWS labelled ids, four numbers each
+    rows = crosswise.collect()  # at most 2 * SAMPLE_ROWS labelled ids, eighteen numbers each
     y = np.array([r["c"] for r in rows], float)
     if len(set(y)) < 2:
         return model
-    x = np.array([[1.0, *r["f"]] for r in rows])
-    scale = np.where(x.std(0) > 0, x.std(0), 1.0)
+    f = np.array([r["f"] for r in rows])
     share = np.where(y == 1, sizes[1] / y.sum(), sizes[0] / (1 - y).sum())
-    whole.weights, whole.prior = _logistic(x / scale, y, share / share.mean()) / scale, model.prior
+    share /= share.mean()
+    best = np.inf
+    for k in range(2 * len(EVIDENT)):
+        x = np.concatenate([np.ones((len(f), 1)), f[:, :2], f[:, 2 + 2 * k : 4 + 2 * k]], axis=1)
+        scale = np.where(x.std(0) > 0, x.std(0), 1.0)
+        weights = _logistic(x / scale, y, share) / scale
+        loss = float((share * np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ weights))).sum())
+        if loss < best:
+            best, whole.weights, whole.evident = loss, weights, k
+    whole.prior = model.prior
     return whole
 
 
