@@ -21,8 +21,9 @@ That joins large groups cheaply, but a forest may drop a true link for ones that
 nearer. So an exact join follows: sets of the stated similarity share a shingle among the
 first n - ceil(SIMILARITY n) + 1 of each, in any order of all shingles. Points that share one,
 are not yet in one component and pass the bounds of size and position are verified too, all
-of them but those whose sketches differ in more than FAR bits (two sets of the similarity and
-of LARGE shingles or more do so once in 10^15 pairs; smaller ones are all verified). Documents
+of them but those whose sketches differ in more than FAR bits (of two sets of the similarity and
+of LARGE shingles or more less than one pair in 10^12 does so, by the binomial tail; smaller ones
+are all verified). Documents
 with the same set are one point throughout, so groups of copies cost one row; one document of
 each point is read for its shingles. Shingles and sets are known by 64-bit hashes, and sets are
 compared by 48 bits of each. Classes are the components of all links of the similarity.
