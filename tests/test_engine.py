@@ -475,3 +475,26 @@ def test_analysis_errors_change_nothing(spark):
             assert apply(t, "broken") is t
     finally:
         del steps.STEPS["broken"]
+
+
+def test_workbook_is_read_piece_by_piece(spark, tmp_path, monkeypatch):
+    import tracemalloc
+    import zipfile
+
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    n = 20_000
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">' + "".join(f"<si><r><t>é</t></r><r><t>{i}</t></r></si>" for i in range(n)) + "</sst>")
+        body = "".join(f'<row><c r="A{i}" t="s"><v>{i}</v></c><c r="C{i}"><v>{i}</v></c><c r="D{i}" t="inlineStr"><is><t>x</t></is></c></row><row/>' for i in range(n))
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData><row><c t="inlineStr"><is><t>k</t></is></c><c/><c t="inlineStr"><is><t>v</t></is></c></row>{body}</sheetData></worksheet>')
+    monkeypatch.setattr(files, "CELLS_HELD", 3_000, raising=False)
+    tracemalloc.start()
+    try:
+        t = files.read(spark, str(tmp_path / "a.xlsx"))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 4_000_000  # the whole sheet takes some 50 MB
+    assert t.names == ["k", "Column 2", "v"]
+    assert t.rows()[1:] == [[f"é{i}", None, str(i)] for i in range(n)]
+    assert [m.logical for m in t.metas][2] == "integer"
