@@ -18,21 +18,20 @@ def carry(t: Table, metas: list[ColumnMeta], down: bool) -> Table:
     """Blank cells get the last non-blank cell above (or the next below); blank ones at the
     start (end) become null. Rows are windowed by stretches of the row order, not all in one
     partition: each stretch leaves its last cells, and a window over those few rows carries
-    them on to the next ones."""
+    them on to the next ones. Filling up reads the rows backwards: a frame that reaches to the
+    end would be gone through anew for each row."""
     if not metas:
         return t
     at = F.floor(F.col(RID) / F.lit(STRETCH))
-    sides = (Window.unboundedPreceding, 0) if down else (0, Window.unboundedFollowing)
-    inside = Window.partitionBy("__at").orderBy(RID).rowsBetween(*sides)
-    pick = F.last if down else F.first
+    along = F.asc if down else F.desc
+    inside = Window.partitionBy("__at").orderBy(along(RID)).rowsBetween(Window.unboundedPreceding, 0)
     seen = {m.id: F.when(~t.blank(m), t.col(m)) for m in metas}
     df = t.df.withColumn("__at", at)
     edge = df.groupBy("__at").agg(*[(F.max_by if down else F.min_by)(F.when(~t.blank(m), t.col(m)), F.when(~t.blank(m), F.col(RID))).alias(f"__e_{m.id}") for m in metas])
-    order = Window.orderBy("__at")  # one row a stretch
-    frame = order.rowsBetween(Window.unboundedPreceding, -1) if down else order.rowsBetween(1, Window.unboundedFollowing)
-    edge = edge.select("__at", *[pick(f"__e_{m.id}", ignorenulls=True).over(frame).alias(f"__e_{m.id}") for m in metas])
+    frame = Window.orderBy(along("__at")).rowsBetween(Window.unboundedPreceding, -1)  # one row a stretch
+    edge = edge.select("__at", *[F.last(f"__e_{m.id}", ignorenulls=True).over(frame).alias(f"__e_{m.id}") for m in metas])
     out = df.withColumns({f"__s_{m.id}": seen[m.id] for m in metas})
-    out = out.withColumns({f"__f_{m.id}": pick(f"__s_{m.id}", ignorenulls=True).over(inside) for m in metas}).join(edge, "__at", "left")
+    out = out.withColumns({f"__f_{m.id}": F.last(f"__s_{m.id}", ignorenulls=True).over(inside) for m in metas}).join(edge, "__at", "left")
     out = out.withColumns({m.id: F.coalesce(f"__f_{m.id}", f"__e_{m.id}") for m in metas})
     return t.with_df(out.select(RID, *[m.id for m in t.metas]))
 

@@ -498,3 +498,20 @@ def test_workbook_is_read_piece_by_piece(spark, tmp_path, monkeypatch):
     assert t.names == ["k", "Column 2", "v"]
     assert t.rows()[1:] == [[f"é{i}", None, str(i)] for i in range(n)]
     assert [m.logical for m in t.metas][2] == "integer"
+
+
+def test_fill_up_reads_each_row_once(spark):
+    from millrace.operators import fills
+
+    n = 3 * fills.STRETCH // 2  # over two stretches
+    cells_ = [str(i) if i % 50_000 == 40_000 else None for i in range(n)]
+    df = spark.range(n).select("id", F.when(F.col("id") % 50_000 == 40_000, F.col("id").cast("string")).alias("x"))
+    t = from_df(df, "id")
+    t = fills.fill(t, t.find("x"), "up")
+    plan = t.df._jdf.queryExecution().toString().lower()
+    assert "unboundedfollowing" not in plan.replace(" ", "")  # such a frame is gone through anew for each row
+    want, last = [], None
+    for c in reversed(cells_):
+        last = c or last
+        want.append(last)
+    assert [r[1] for r in t.rows()[1:]] == want[::-1]
