@@ -23,8 +23,9 @@ places and rates are the same at every size.
 Counts of the HEAD most frequent words go to every executor, a fixed bound; other words of
 a text are joined to the table of counts, which is never gathered anywhere. Each text is cut
 into words and numbered once; the numbers are a table in the shared folder that all rounds and
-the scoring read. A text is held as words while it is numbered, so a task needs some 60 bytes
-a word of its longest text.
+the scoring read. Texts are cut in pieces of HELD bytes; what depends on a word alone is looked
+up once for each different word of a piece. A text is held as words while it is numbered, so a
+task needs some 60 bytes a word of its longest text.
 
 Nulls: a null text is empty (its end is its one token); a null id counts as the empty text
 for the fold. Repeated rows each get a row, and teach as often as they occur; words of equal
@@ -41,11 +42,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_bytes, materialise, pack, rows_of, spaced, unpack
+from .common import arrow_map, as_bytes, materialise, pack, rows_of, unpack
 
 CLASSES = 64
 SINGLES = 24
@@ -55,11 +57,11 @@ HIDDEN = 16
 WINDOW = 16  # steps at least; more, up to LONGEST, where few texts are left and a window has less than FULL tokens
 LONGEST = 128
 FULL = 8_192
-EACH = 4  # words within classes are learned in one of so many windows
+EACH = 1  # words within classes are learned in one of so many windows: in all
 SLOTS = 1_024
 CHUNK = 4_000_000  # tokens held at once: whole texts, or one text
 HEAD = 131_072
-FLUSH = 200_000
+HELD = 8_000_000  # bytes of texts that are cut into words at once, or one text
 SHARES = 32
 #: First and last of SHARES, places, learning rate.
 ROUNDS = ((0, 0, 64, 0.02), (1, 3, 128, 0.02), (4, 9, 256, 0.015), (10, 31, 512, 0.008))
@@ -126,8 +128,16 @@ class Head:
     its share of the unit, log10 of the base probability."""
 
     def __init__(self, words: list[bytes], counts: list[int], classes: Classes, units: Units, base):
-        self.classes, self.rest = classes, units.rest
-        self.place = {w: i for i, w in enumerate(words)}
+        self.known = pa.array(words, pa.binary())
+        self.end_place = 0 if words[:1] == [END] else None  # known wherever there is a training text
+        # units of other words, none of which is single: by the last two bytes, or the one byte of a word
+        self.by_end = units.rest[CLASSES - REST + np.arange(256) % REST].repeat(256).reshape(256, 256).T.copy()
+        self.by_byte = self.by_end[0].copy()
+        for e, k in classes.ending.items():
+            if len(e) == 2:
+                self.by_end[e[0], e[1]] = units.rest[k]
+            else:
+                self.by_byte[e[0]] = units.rest[k]
         n = np.array(counts or [0], float)
         cls = np.array([classes.of(w) for w in words] or [0], np.int64)
         of_word = [units.of_word.get(w, -1) for w in words] or [-1]
@@ -138,19 +148,16 @@ class Head:
         self.base = base(n)
         self.end = units.of_word.get(END, 0)
 
-    def places(self, ws: list[bytes]) -> np.ndarray:
-        get = self.place.get
-        return np.fromiter((get(w, -1) for w in ws), np.int64, len(ws))
-
-    def sequence(self, ws: list[bytes], at: np.ndarray) -> np.ndarray:
-        """Units of the words and of the end."""
-        out = np.empty(len(ws) + 1, np.uint16)
-        out[:-1] = self.unit[at]
-        of, rest = self.classes.of, self.rest
-        for i in np.flatnonzero(at < 0).tolist():
-            out[i] = rest[of(ws[i])]
-        out[-1] = self.end
-        return out
+    def units(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each of the words, -1 if it is not of the head, and its unit."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy(zero_copy_only=False)
+        out = self.unit[at]
+        others = words.filter(pa.array(at < 0))
+        size = pc.binary_length(others).to_numpy(zero_copy_only=False)
+        raw = np.frombuffer(b"".join([b"\0", *others.to_pylist()]), np.uint8)
+        last = np.cumsum(size)
+        out[at < 0] = np.where(size > 1, self.by_end[raw[last - 1], raw[last]], self.by_byte[raw[last]])
+        return at, out
 
 
 # -- the network ---------------------------------------------------------------------------
@@ -220,11 +227,16 @@ class Abreast:
         return out
 
 
+def _gates(x: np.ndarray) -> np.ndarray:
+    """n x 3 HIDDEN as 3 x n x HIDDEN: what is of one gate lies together."""
+    return x.reshape(len(x), 3, HIDDEN).transpose(1, 0, 2)
+
+
 def _forward(w: dict, run: Abreast, lo: int, hi: int, given: np.ndarray, h: np.ndarray, kept: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The state after each token of a window, and the last one. kept: gets what going back
     needs of each step."""
     every = np.empty((len(given), HIDDEN), h.dtype)
-    inputs = w["x"][given]
+    inputs, u = np.take(_gates(w["x"]), given, axis=1), np.ascontiguousarray(_gates(w["u"]))
     first = given == run.first
     half, at = h.dtype.type(0.5), 0
     for t in range(lo, hi):
@@ -235,16 +247,18 @@ def _forward(w: dict, run: Abreast, lo: int, hi: int, given: np.ndarray, h: np.n
         if first[now].any():
             go = ~first[now, None]
             h = h * go
-        a, b = inputs[now], h @ w["u"]
-        zr = a[:, : 2 * HIDDEN] + b[:, : 2 * HIDDEN]
+        b = h @ u
+        zr = b[:2]
+        zr += inputs[:2, now]
         zr *= half
         np.tanh(zr, out=zr)
         zr *= half
         zr += half
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        un = b[:, 2 * HIDDEN :] + w["n"]
+        z, r = zr
+        un = b[2]
+        un += w["n"]
         n = r * un
-        n += a[:, 2 * HIDDEN :]
+        n += inputs[2, now]
         np.tanh(n, out=n)
         if kept is not None:
             kept.append((h, z, r, un, n, go))
@@ -333,7 +347,7 @@ class Trainer:
             x *= (share / _normalised(x))[:, None]
             x[np.arange(len(x)), cls[at : at + PIECE]] -= share
             g["o"] += e.T @ x
-            g["b"] += x.sum(0)
+            g["b"] += np.ones(len(x), x.dtype) @ x
             back[at : at + PIECE] = x @ w["o"].T
         if self.step % EACH == 0:
             g["w"], g["v"] = np.zeros_like(w["w"]), np.zeros_like(w["v"])
@@ -344,10 +358,10 @@ class Trainer:
                 x *= (share / _normalised(x))[:, None]
                 x[np.arange(len(x)), place] -= share
                 g["w"][:, own] = e.T @ x
-                g["v"][own] = x.sum(0)
+                g["v"][own] = np.ones(len(x), x.dtype) @ x
                 back[rows] += x @ w["w"][:, own].T
-        dx = np.empty((size, 3 * HIDDEN), every.dtype)
-        du, dn = np.zeros_like(w["u"]), np.zeros_like(w["n"])
+        dx, inside = np.empty((3, size, HIDDEN), every.dtype), np.empty((size, HIDDEN), every.dtype)
+        back_u = np.ascontiguousarray(_gates(w["u"]).transpose(0, 2, 1))
         ahead, end = None, size
         for before, z, r, un, n, go in reversed(kept):
             at = slice(end - len(before), end)
@@ -355,26 +369,25 @@ class Trainer:
             d = back[at]
             if ahead is not None:
                 d[: len(ahead)] += ahead
-            now = dx[at]
-            part = now[:, : 2 * HIDDEN]
-            rest = d * (1 - z)
-            np.multiply(rest, 1 - n * n, out=now[:, 2 * HIDDEN :])
-            dnn = now[:, 2 * HIDDEN :]
-            np.multiply(d * (before - n), z * (1 - z), out=part[:, :HIDDEN])
-            np.multiply(dnn * un, r * (1 - r), out=part[:, HIDDEN:])
-            inner = np.concatenate([part, dnn * r], axis=1)
-            du += before.T @ inner
-            dn += inner[:, 2 * HIDDEN :].sum(0)
-            ahead = inner @ w["u"].T
-            ahead += d * z
+            dn, dun = dx[2, at], inside[at]
+            np.multiply(d * (1 - z), 1 - n * n, out=dn)
+            np.multiply(d * (before - n), z * (1 - z), out=dx[0, at])
+            np.multiply(dn * un, r * (1 - r), out=dx[1, at])
+            np.multiply(dn, r, out=dun)
+            ahead = d * z
+            ahead += dx[0, at] @ back_u[0]
+            ahead += dx[1, at] @ back_u[1]
+            ahead += dun @ back_u[2]
             if go is not None:
                 ahead *= go
         order = np.argsort(given, kind="stable")
         got = given[order]
         starts = np.flatnonzero(np.concatenate([[True], got[1:] != got[:-1]]))
         g["x"] = np.zeros_like(w["x"])
-        g["x"][got[starts]] = np.add.reduceat(dx[order], starts, axis=0)
-        g["u"], g["n"] = du, dn
+        _gates(g["x"])[:, got[starts]] = np.add.reduceat(np.take(dx, order, axis=1), starts, axis=1)
+        states = np.concatenate([step[0] for step in kept]).T
+        g["u"] = np.concatenate([states @ dx[0], states @ dx[1], states @ inside], axis=1)
+        g["n"] = np.ones(size, every.dtype) @ inside
         self._adam(g)
         return h
 
@@ -408,19 +421,47 @@ def chunks(batches: Iterator[list[np.ndarray]], most: int = CHUNK) -> Iterator[l
 # -- counts and model over the corpus ---------------------------------------------------------
 
 
+def pieces(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of HELD bytes at most, or of one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + HELD, side="right")))
+        yield texts.slice(lo, hi - lo)
+        lo = hi
+
+
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words between ASCII white space, with A-Z lower-cased, of all texts one after another: the
+    different words, which of them each is, and which text it is of. Null is the empty text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    found = lists.flatten().dictionary_encode()
+    which = found.indices.to_numpy()
+    of = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    words = found.dictionary.cast(pa.binary())
+    none = pc.index(words, pa.scalar(b"", pa.binary())).as_py()  # before white space that a text begins or ends with
+    if none >= 0:
+        some = which != none
+        which, of = which[some], of[some]
+        which = which - (which > none)
+        words = pa.concat_arrays([words.slice(0, none), words.slice(none + 1)])
+    return words, which, of
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """w, n over all texts (column t), the end of each text among them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        held: Counter = Counter()
+        n = 0
         for batch in batches:
-            for t in as_bytes(batch.column(0)):
-                held.update(spaced(t))
-                held[END] += 1
-                if len(held) >= FLUSH:
-                    yield {"w": list(held.keys()), "n": list(held.values())}
-                    held = Counter()
-        yield {"w": list(held.keys()), "n": list(held.values())}
+            n += batch.num_rows
+            for part in pieces(batch.column(0)):
+                words, which, _ = cut(part)
+                often = np.bincount(which, minlength=len(words))
+                some = pa.array(often > 0)
+                yield {"w": words.filter(some), "n": pa.array(often, pa.int64()).filter(some)}
+        if n:
+            yield {"w": [END], "n": [n]}
 
     return rows_of(texts, [F.col("t")], "w binary, n long", count).groupBy("w").agg(F.sum("n").alias("n"))
 
@@ -494,36 +535,44 @@ def train(table: DataFrame, units: Units) -> dict[str, np.ndarray]:
     return weights
 
 
+def numbered(h: Head, texts: pa.Array) -> dict[str, pa.Array]:
+    """Of each text: seq (units as bytes, with the end), n_tokens; of its words of the head: known,
+    base, log_share; its other words: tail."""
+    words, which, of = cut(texts)
+    n = len(texts)
+    at, unit = h.units(words)
+    sizes = np.bincount(of, minlength=n)
+    starts = np.concatenate([[0], np.cumsum(sizes + 1)])
+    seq = np.full(starts[-1], h.end, np.uint16)
+    seq[np.arange(len(which)) + of] = unit[which]
+    seqs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * starts).astype(np.int32)), pa.py_buffer(seq)])
+    hit = at >= 0
+    summed = lambda x: pa.array(np.bincount(of, np.where(hit, x[at], 0.0)[which], n))
+    rare = np.flatnonzero(~hit[which])
+    pairs, often = np.unique(of[rare] * max(1, len(words)) + which[rare], return_counts=True)
+    text, word = np.divmod(pairs, max(1, len(words)))
+    tail = pa.StructArray.from_arrays([words.take(pa.array(word)), pa.array(often, pa.int32())], ["w", "f"])
+    ends = pa.array(np.searchsorted(text, np.arange(n + 1)), pa.int32())
+    known = pa.array(np.bincount(of, hit[which], n).astype(np.int64))
+    return {"seq": seqs, "n_tokens": pa.array(sizes + 1), "known": known, "base": summed(h.base), "log_share": summed(h.share), "tail": pa.ListArray.from_arrays(ends, tail)}
+
+
 def encode(docs: DataFrame, learn: Column, text: str, keep: list[str], model: Model) -> DataFrame:
     """_doc (the kept columns), row, learn, share, seq, n_tokens; of the words of the head: known,
     base, log_share; the other words of the text: tail."""
     head = docs.sparkSession.sparkContext.broadcast(model.head)
-    end = model.head.place.get(END)  # known wherever there is a training text
+    end = model.head.end_place
     end_share, end_base = (float(model.head.share[end]), float(model.head.base[end])) if end is not None else (0.0, float(model.base(0)))
 
     def work(got: dict) -> dict:
-        out: dict = {k: [] for k in ("share", "seq", "n_tokens", "known", "base", "log_share")}
-        rare: list[bytes] = []
-        often: list[int] = []
-        ends = [0]
-        h = head.value
-        for t in as_bytes(got["t"]):
-            ws = spaced(t)
-            at = h.places(ws)
-            out["seq"].append(h.sequence(ws, at).tobytes())
-            out["share"].append(xxhash.xxh3_64_intdigest(t) % SHARES)
-            hit = at[at >= 0]
-            tail = Counter([ws[i] for i in np.flatnonzero(at < 0).tolist()])
-            rare += tail.keys()
-            often += tail.values()
-            ends.append(len(rare))
-            out["n_tokens"].append(len(ws) + 1)
-            out["known"].append(len(hit) + (end is not None))
-            out["log_share"].append(float(h.share[hit].sum()) + end_share)
-            out["base"].append(float(h.base[hit].sum()) + end_base)
-        words = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(often, pa.int32())], ["w", "f"])
-        out["tail"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words)
-        return out
+        parts = [numbered(head.value, part) for part in pieces(got["t"])]
+        out = {k: pa.concat_arrays([p[k] for p in parts]) for k in parts[0]} if parts else {k: [] for k in schema}
+        return out | {
+            "share": [xxhash.xxh3_64_intdigest(t) % SHARES for t in as_bytes(got["t"])],
+            "known": np.asarray(out["known"]) + (end is not None),
+            "base": np.asarray(out["base"]) + end_base,
+            "log_share": np.asarray(out["log_share"]) + end_share,
+        }
 
     schema = {"share": "int", "seq": "binary", "n_tokens": "long", "known": "long", "base": "double", "log_share": "double", "tail": "array<struct<w:binary,f:int>>"}
     packed = pack(docs, keep, learn=F.coalesce(learn, F.lit(False)), t=docs[text])

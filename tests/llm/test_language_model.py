@@ -169,3 +169,43 @@ def test_odd_rows(spark):
     assert {r["n_tokens"] for r in out if r["doc_id"] in (1, 2, 3)} == {1}
     assert lm.score(odd.limit(0), F.lit(True)).count() == 0
     assert lm.score(odd, F.lit(False)).where("n_known > 0 or train_tokens > 0").count() == 0
+
+
+def test_every_window_teaches_words_within_classes():
+    units = some_units()
+    seen = []
+
+    class Seen(lm.Trainer):
+        def _adam(self, g):
+            seen.append(set(g))
+            super()._adam(g)
+
+    net = Seen(lm.start_weights(units), units, 0.01)
+    net.learn(sequences(units, (700, 300), 3), 2)
+    assert len(seen) > 4 and all(g == set(net.w) for g in seen)
+
+
+def test_texts_are_cut_alike_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["  Ab aB\u00a0c\tÜ x\x0b\x0cx ", None, "", "\r\n", "one", "a b a", "\x1c\x85 q\x00q"] * 3
+    monkeypatch.setattr(lm, "HELD", 12)
+    words = []
+    for part in lm.pieces(pa.array(texts)):
+        ws, which, of = lm.cut(part)
+        words += [[ws[int(k)].as_py() for k in which[of == i]] for i in range(len(part))]
+    assert words == [[w.encode() for w in brute.spaced(t or "")] for t in texts]
+
+
+def test_units_of_words():
+    """Of the head and by ending, as Classes has them."""
+    import pyarrow as pa
+
+    classes = lm.Classes([lm.END, b"the"], [b"ng", b"a", b"\xc3\xa9"])
+    units = lm.Units(classes, [lm.END, b"the", b"long"], [5, 4, 3], [(9, 3)] * lm.CLASSES)
+    head = lm.Head([lm.END, b"the", b"long", b"ring"], [5, 4, 3, 1], classes, units, lambda n: n)
+    ws = [b"the", b"long", b"ring", b"sing", b"a", b"b", b"ba", "é".encode(), "né".encode(), b"qq", b"ng"]
+    at, unit = head.units(pa.array(ws, pa.binary()))
+    assert at.tolist() == [1, 2, 3, *[-1] * 8]
+    assert unit.tolist() == [units.of_word.get(w, units.rest[classes.of(w)]) for w in ws]
+    assert [x.tolist() for x in head.units(pa.array([], pa.binary()))] == [[], []]
