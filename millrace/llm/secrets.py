@@ -11,11 +11,13 @@ tables of fixed size that each task sums up and that are added by aggregation.
 
 A candidate, a run of CANDIDATE_LENGTH or more key characters, is a secret if its
 log-likelihood ratio per character passes a threshold. The threshold is learned from labelled
-strings that the chains have not seen: words of a sample joined as identifiers, against
-further strings of the generator: it lets MISSED of these go, and more only where that avoids
-false alarms, one of which counts for ALARM misses. Dates, numbers and rules (runs of one
-character) are ordinary, too, as running text may lack them. The sample is the SAMPLE_ROWS
-rows with the smallest hash of their text, a bound on labelled strings alone.
+strings that the chains have not seen: all different words of each text of all documents joined
+as identifiers, in other forms and other runs of words than those that taught the chains,
+against further strings of the generator: it lets MISSED of these go, and more only where that
+avoids false alarms, one of which counts for ALARM misses. The least error is always at the
+ratio of one of the generator's strings, so each task counts how many identifiers lie between
+two such ratios, and the counts are added. Dates, numbers and rules (runs of one character) are
+ordinary, too, as running text may lack them.
 
 Spans found by the patterns stay; a candidate that overlaps one is not added again (kind
 markov). Positions are in code points, ends exclusive; spans that start together are in the order
@@ -37,8 +39,6 @@ from pyspark.sql import functions as F
 
 from .common import BATCH, arrow_map, as_texts, rows_of
 
-SAMPLE_ROWS = 500
-SAMPLE_WORDS = 200  # of each of its texts
 CANDIDATE_LENGTH = 16
 MISSED = 0.01
 ALARM = 20
@@ -100,6 +100,13 @@ class Markov:
     def ratio(self, text: str) -> float:
         return float(self.table[self.codes(text.encode())].sum() / max(1, len(text)))
 
+    def ratios(self, texts: list[bytes]) -> np.ndarray:
+        """ratio of each of some texts of key characters."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        sums = np.concatenate([[0.0], np.cumsum(self.table[self.codes(b"\n".join(texts))])])
+        ends = np.cumsum(sizes)
+        return (sums[ends] - sums[ends - sizes]) / np.maximum(1, sizes)
+
 
 def random_strings(seed: int, each: int = DRAWN) -> list[bytes]:
     """Of 16 to 63 characters, over the alphabets of keys."""
@@ -168,24 +175,45 @@ def transitions(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nda
     return out[0], out[1]
 
 
-def labelled_identifiers(docs: DataFrame, text: str = "text") -> list[bytes]:
-    """Words of a bounded sample, joined as identifiers in each form, of candidates' length."""
-    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).select("t", F.xxhash64("t").alias("h"))
-    marks = [r["h"] for r in rows.where(F.length("t") > 0).select("h").distinct().orderBy("h").limit(SAMPLE_ROWS).collect()]
-    cut = arrow_map(rows.where(F.col("h").isin(marks)), {"t": F.col("t")}, ["h"], {"w": "array<string>"}, lambda got: {"w": [[w.decode() for w in sorted({w for w in _WORD.findall(_samples(t)[0]) if len(w) > 2}, key=zlib.crc32)[:SAMPLE_WORDS]] for t in as_texts(got["t"])]})
-    words = sorted({w for r in cut.dropDuplicates(["h"]).toLocalIterator() for w in r["w"]})
-    if not words:
-        return []
-    rng = np.random.default_rng(11)
-    out = []
-    for i in range(8_000):
-        picked = [words[k].encode() for k in rng.integers(0, len(words), rng.integers(2, 6))]
-        name = joined(picked, STYLES[i % len(STYLES)]) + (str(rng.integers(0, 2100)).encode() if i % 3 == 0 else b"")
+def labelled_identifiers(text: str) -> list[bytes]:
+    """All different words of a text, outside of what the patterns find: in runs of 2 to 6, some
+    with a number, in the forms by turns but for the one that the text taught the chains in;
+    those of candidates' length."""
+    plain, _ = _samples(text)
+    words = sorted({w for w in _WORD.findall(plain) if len(w) > 2}, key=lambda w: (zlib.crc32(w), w))
+    taught, out, lo, i = zlib.crc32(plain), [], 0, 0
+    while lo < len(words):
+        # a last word left alone would be in no identifier
+        hi = lo + 2 + (taught + i) % 4
+        hi = len(words) if len(words) - hi < 2 else hi
+        name = joined(words[lo:hi], STYLES[(taught + 1 + i % (len(STYLES) - 1)) % len(STYLES)]) + (b"%d" % (taught % 2_100) if i % 3 == 0 else b"")
         if len(name) >= CANDIDATE_LENGTH:
             out.append(name)
+        lo, i = hi, i + 1
     return out
 
 
+def ordinary_above(docs: DataFrame, model: Markov, tried: np.ndarray, text: str = "text") -> np.ndarray:
+    """How many identifiers of all documents have at least each of the ratios tried, which
+    ascend, and how many there are."""
+    sent = docs.sparkSession.sparkContext.broadcast((model, tried))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        model, tried = sent.value
+        n = np.zeros(len(tried) + 1, np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BATCH):
+                names = [x for t in as_texts(batch.column(0).slice(lo, BATCH)) for x in labelled_identifiers(t)]
+                n += np.bincount(np.searchsorted(tried, model.ratios(names), side="right"), minlength=len(n))
+        some = np.flatnonzero(n)
+        yield {"i": some, "n": n[some]}
+
+    sums = rows_of(docs, [F.col(text)], "i int, n long", count).groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # a row for each ratio at most
+    out = np.zeros(len(tried) + 1)
+    out[sums.column("i").to_numpy()] = sums.column("n").to_numpy()
+    return np.append(out[::-1].cumsum()[::-1][1:], out.sum())
+
+
 def train(docs: DataFrame, text: str = "text") -> Markov:
     found, plain = transitions(docs, text)
     drawn = Markov.count(random_strings(7))
@@ -193,10 +221,10 @@ def train(docs: DataFrame, text: str = "text") -> Markov:
     plain = plain + forms * max(1.0, FORMS * plain.sum() / forms.sum())
     model = Markov(found + drawn * max(1.0, found.sum() / drawn.sum()), plain)
     secret = np.array([model.ratio(x.decode()) for x in random_strings(8)])
-    ordinary = np.array([model.ratio(x.decode()) for x in labelled_identifiers(docs, text)] or [0.0])
-    tried = np.unique(np.concatenate([secret, ordinary]))
+    tried = np.unique(secret)
     tried = tried[tried >= np.quantile(secret, MISSED)]
-    errors = np.searchsorted(np.sort(secret), tried) / len(secret) + ALARM * (1 - np.searchsorted(np.sort(ordinary), tried) / len(ordinary))
+    *above, every = ordinary_above(docs, model, tried, text)
+    errors = np.searchsorted(np.sort(secret), tried) / len(secret) + ALARM * np.array(above) / max(1, every)
     model.threshold = float(tried[np.argmin(errors)])
     return model
 

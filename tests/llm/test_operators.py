@@ -197,6 +197,27 @@ def test_secrets(spark, odd, none, small, texts):
     assert secrets.scan(none, secrets.train(none)).count() == 0
 
 
+def test_threshold_learned_from_all_texts(spark):
+    """The threshold has the least error over the identifiers of every text, not of some."""
+    rng = np.random.default_rng(3)
+    word = lambda letters, n: "".join(np.array(list(letters))[rng.integers(0, len(letters), n)])
+    plain = [" ".join(word("etaoinsr", 6) for _ in range(9)) for _ in range(700)]
+    odd = [" ".join(word("qzxjkvQZXJKVwp", 11) for _ in range(400)) for _ in range(60)]
+    texts = [*plain, *odd, None, "one"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    model = secrets.train(docs)
+    names = [x for t in texts for x in secrets.labelled_identifiers(t or "")]
+    assert len(names) > 5_000  # the words of all 60 odd texts alone make as many
+    ordinary = np.array([model.ratio(x.decode()) for x in names])
+    assert np.allclose(model.ratios(names), ordinary)
+    secret = np.array([model.ratio(x.decode()) for x in secrets.random_strings(8)])
+    error = lambda x: (secret < x).mean() + secrets.ALARM * (ordinary >= x).mean()
+    least = np.quantile(secret, secrets.MISSED)
+    assert error(model.threshold) <= min(error(x) for x in np.concatenate([secret, ordinary]) if least <= x <= secret.max()) + 1e-9
+    tried = np.quantile(ordinary, [0.1, 0.5, 0.9]) + 1e-7  # beside a ratio, not on it
+    assert secrets.ordinary_above(docs, model, tried).tolist() == [*((ordinary >= x).sum() for x in tried), len(names)]
+
+
 def test_markov_on_held_out_strings(spark, small):
     """Keys and identifiers that training never saw: none is of its generator or its texts."""
     model = secrets.train(spark.read.parquet(f"{small}/documents.parquet"))
