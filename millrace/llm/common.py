@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,6 +40,14 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release() -> None:
+    """Give memory that the driver's Python no longer uses back to the system, where the C
+    library can do that."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def stable(df: DataFrame) -> DataFrame:
     """df itself if it is a table of Parquet files, else df written as one: then place() names
     each row."""

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, as_bytes, id_hash, letter_words, materialise, rows_of
+from .common import arrow_map, as_bytes, id_hash, letter_words, materialise, release, rows_of
 from .near_dedup import shingles, sketch
 
 SAMPLE_ROWS = 4_000
@@ -200,7 +200,8 @@ def _levels(counts: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFrame]:
 
 
 class Levels:
-    """What all models need, gathered once: expressions that some model holds."""
+    """What all models need, gathered once: expressions that some model holds, and their places
+    in every model, which the models share."""
 
     def __init__(self, counts: DataFrame):
         levels, pairs, firsts = _levels(counts)
@@ -215,25 +216,35 @@ class Levels:
         self.heads = [bytes(x) for x in heads.column("x").to_pylist()]
         self.head_counts = {c: heads.column(c).to_numpy().astype(float) for c in (*_COLUMNS, *(f"d{c}" for c in _COLUMNS))}
         kept = _held(pairs.where(F.length("v") > 0), PAIRS).toArrow()
-        self.pairs = ([bytes(x) for x in kept.column("v").to_pylist()], [bytes(x) for x in kept.column("w").to_pylist()])
         self.pair_counts = {c: kept.column(c).to_numpy().astype(float) for c in _COLUMNS}
+        # place 0 is an expression that no level knows
+        starts = np.cumsum([1, *map(len, self.names)]).tolist()
+        self.places = [dict(zip(x, range(at, at + len(x)), strict=True)) for x, at in zip(self.names, starts, strict=False)]
+        # of each name the place of its first letters in the level below, from 1
+        self.below = [np.array([known.get(x[:size], at - 1) - at + 1 for x in names], np.int64) for names, known, at, size in zip(self.names, self.places[1:], starts[1:], PREFIXES, strict=False)]
+        get = lambda xs: np.array([self.places[0].get(x, 0) for x in xs], np.int64)
+        of = {x: i for i, x in enumerate(self.heads)}
+        first = kept.column("v").to_pylist()
+        self.head_places = get(self.heads)
+        self.pair_places = get(first), get(kept.column("w").to_pylist())
+        self.pair_heads = np.array([of.get(x, 0) for x in first], np.int64)
 
     def model(self, half: str) -> Model | None:
         columns = [f"m{half}_{c}" for c in (0, 1)]
         if not all(self.sums[0][c][0] for c in columns):
             return None
         made = Model()
-        at, blocks = 1, []
+        blocks = []
         below, total = None, sum(self.sums[-1][c][0] for c in columns)
-        # from the fewest letters up to whole words; place 0 is an expression that no level knows
+        # from the fewest letters up to whole words
         for level in range(len(self.names) - 1, -1, -1):
-            names, counts = self.names[level], np.array([self.counts[level][c] for c in columns])
+            counts = np.array([self.counts[level][c] for c in columns])
             n = counts.sum(0)
             if below is None:
                 lower = np.tile(np.maximum(n, 1) / total, (2, 1))
             else:
-                known, p, weight, size = below
-                place = np.array([known.get(x[: PREFIXES[level]], 0) for x in names], np.int64)
+                p, weight, size = below
+                place = self.below[level]
                 # what this model hasn't seen gets its first letters' probability, but for a factor
                 # that is the same for both classes
                 share = np.where(n > 0, n / np.maximum(size[place], 1), 1.0)
@@ -241,20 +252,15 @@ class Levels:
             free = np.array([1 - self.sums[level][c][1] / self.sums[level][c][0] for c in columns])
             own = np.array([np.maximum(counts[c] - DISCOUNT, 0) / self.sums[level][columns[c]][0] for c in (0, 1)])
             p = own + free[:, None] * lower
-            places = dict(zip(names, range(1, len(names) + 1), strict=True))
-            rest = free * (below[2] if below else 1.0)
-            below = (places, np.concatenate([rest[:, None], p], axis=1), rest, np.concatenate([[0.0], n]))
-            blocks.append((names, p, free))
+            rest = free * (below[1] if below else 1.0)
+            below = (np.concatenate([rest[:, None], p], axis=1), rest, np.concatenate([[0.0], n]))
+            blocks.append((p, free))
         # an unseen word with known first letters: the mass that levels above leave to them
-        words, p, free = blocks[-1]
-        made.place = dict(zip(words, range(at, at + len(words)), strict=True))
-        table = [below[2][:, None], p]
-        at += len(words)
-        weight = free
-        for names, p, free in blocks[-2::-1]:
-            made.begins.append(dict(zip(names, range(at, at + len(names)), strict=True)))
+        made.place, *made.begins = self.places
+        p, weight = blocks[-1]
+        table = [below[1][:, None], p]
+        for p, free in blocks[-2::-1]:
             table.append(p * weight[:, None])
-            at += len(names)
             weight = weight * free
         made.word = np.maximum(np.concatenate(table, axis=1), 1e-300)
         self._bigrams(made, columns)
@@ -263,16 +269,12 @@ class Levels:
     def _bigrams(self, made: Model, columns: list[str]) -> None:
         n = made.word.shape[1]
         made.backoff = np.ones((2, n))
-        of = {x: i for i, x in enumerate(self.heads)}
         sums = np.array([self.head_counts[c] for c in columns])
         less = np.array([self.head_counts[f"d{c}"] for c in columns])
         free = np.where(sums > 0, 1 - less / np.maximum(sums, 1), 1.0)
-        for x, i in of.items():
-            if at := made.place.get(x):
-                made.backoff[:, at] = free[:, i]
-        v = np.array([made.place.get(x, 0) for x in self.pairs[0]], np.int64)
-        w = np.array([made.place.get(x, 0) for x in self.pairs[1]], np.int64)
-        head = np.array([of.get(x, 0) for x in self.pairs[0]], np.int64)
+        known = np.flatnonzero(self.head_places)
+        made.backoff[:, self.head_places[known]] = free[:, known]
+        (v, w), head = self.pair_places, self.pair_heads
         counts = np.array([self.pair_counts[c] for c in columns]).reshape(2, -1)
         p = np.maximum(counts - PAIRS, 0) / np.maximum(sums[:, head], 1) if len(head) else counts
         kept = np.flatnonzero((v > 0) & (w > 0) & (p.sum(0) > 0)) if len(head) else np.zeros(0, np.int64)
@@ -293,6 +295,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     sent = docs.sparkSession.sparkContext.broadcast(halves)
     crosswise = arrow_map(sample, {"t": F.col("t"), "half": F.col("half")}, ["c"], {"f": "array<double>"}, lambda got: {"f": [sent.value[1 - h].features(x) for h, x in zip(got["half"].to_pylist(), as_bytes(got["t"]), strict=True)]})
     rows = crosswise.collect()  # at most 2 * SAMPLE_ROWS labelled ids, eighteen numbers each
+    sent.destroy()
+    del levels, halves
+    release()
     y = np.array([r["c"] for r in rows], float)
     if len(set(y)) < 2:
         return model

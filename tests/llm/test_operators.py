@@ -329,3 +329,14 @@ def test_mixing(spark, small, odd, none):
     assert mixing.mix(odd, labels, {0: 0.5, 1: 0.5}).count() == len(ODD)
     assert mixing.mix(odd, labels.limit(0), {0: 0.5, 1: 0.5}).where("rate = 1").count() == len(ODD)
     assert mixing.mix(none, labels, {1: 1.0}).count() == 0
+
+
+def test_models_share_their_tables(spark):
+    """One table of words for the three models, on the driver and in what is sent."""
+    rows = [(i % 2, i // 2 % 2, " ".join(f"{'abcdefghijklmnopqrstuvw'[(i * k) % 23] * 3}" for k in range(30))) for i in range(80)]
+    levels = toxicity.Levels(toxicity._counts(spark.createDataFrame(rows, "half int, c int, t string")))
+    whole, *halves = [levels.model(half) for half in toxicity.MODELS]
+    assert len(whole.place) > 20 and len(halves) == 2 and all(m.place is whole.place for m in halves)
+    assert all(x is y for m in halves for x, y in zip(m.begins, whole.begins, strict=True))
+    places = [p for known in (whole.place, *whole.begins) for p in known.values()]
+    assert sorted(places) == list(range(1, whole.word.shape[1]))
